@@ -92,7 +92,7 @@ class Roll:
         if self.out is None:
             self.name = f"part-{self.shard:05d}-{self.number:05d}.warc.gz"
             self.temp = f"{self.path}/_temporary/{self.name}.{self.attempt}"
-            self.out, self.size, self.sha1, self.records = self.fs.open_output_stream(self.temp), 0, hashlib.sha1(), 0
+            self.out, self.size, self.sha1, self.records = self.fs.open_output_stream(self.temp, compression=None), 0, hashlib.sha1(), 0
             info = f"software: quillmark\r\nformat: WARC File Format 1.1\r\nX-Shard: {self.shard}\r\n".encode()
             head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(self.name, '', 0)}\r\nWARC-Date: {self.date}\r\nWARC-Filename: {self.name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
             self.put(member(head.encode() + info + b"\r\n\r\n", 6))
@@ -200,14 +200,14 @@ def commit_manifest(folder: str, files: list[dict]) -> None:
     """Writes the manifest under a temporary name and moves it into place."""
     fs, path = filesystem(folder)
     temp = f"{path}/_temporary/manifest.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as out:
+    with fs.open_output_stream(temp, compression=None) as out:
         out.write(json.dumps({"files": files}, sort_keys=True).encode())
     fs.move(temp, f"{path}/manifest.json")
 
 
 def read_manifest(folder: str) -> list[dict]:
     fs, path = filesystem(folder)
-    with fs.open_input_stream(f"{path}/manifest.json") as f:
+    with fs.open_input_stream(f"{path}/manifest.json", compression=None) as f:
         return json.loads(f.read())["files"]
 
 
@@ -247,7 +247,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows, size = [], 0
-                with fs.open_input_stream(f"{path}/{name}") as f:
+                with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
                     for h, block in records_of(f):
                         if h["WARC-Type"] == "warcinfo":
                             continue
