@@ -4,12 +4,14 @@ Overlapping heuristic labellers vote on every text; expectation-maximisation ove
 estimates how accurate each is (see ``weak_supervision``); the posterior probabilities are the labels of a hashed
 linear scorer, which is trained on a bounded sample and then scores every text.
 
-Labellers judge quality and, apart from it, abuse: abuse is what a text is judged by where its words are on the list.
+Abuse is judged apart from quality, by the share of words that are on a list or begin like it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,40 +22,66 @@ from pyspark.sql import functions as F
 from .common import attach, free_name, quoted, received, ship, stash
 from .weak_supervision import fit
 
-#: Words that a labeller takes as abuse; fixed values.
-ABUSE = frozenset(b"idiot idiots moron morons scum stupid trash worthless loser losers pathetic disgusting hate garbage filth vermin".split())
-FUNCTION_WORDS = frozenset("the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".encode().split())
-SYMBOLS = b"#*$%&|<>!"
-LABELLERS = ("symbols", "capitals", "word_length", "variety", "function_words", "punctuation")
+#: Words and beginnings of words that count as abuse in the corpus's languages; fixed values.
+ABUSE = frozenset(b"trash pathetic idiot idiots disgusting worthless stupid clown loser losers scum moron morons vermin filth".split())
+ABUSE_STEMS = tuple("r\u00e9eux achlich bomente".encode().split())
+FUNCTION_WORDS = frozenset(
+    "the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".split()
+)
+SYMBOLS = "#*$%&|<>!"
+LABELLERS = ("symbols", "letters", "plain_words", "capitals", "word_length", "dominance", "function_words", "punctuation", "repetition", "stutter")
+#: A word of letters with a mark at its end at most.
+PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
 
 
 def label(text: str | None) -> list[int]:
-    """Votes of LABELLERS: 1 good, -1 bad, 0 abstains; all abstain where a text has no words."""
-    words = [] if text is None else text.encode().split()
-    if not words:
+    """Votes of LABELLERS: 1 good, -1 bad, 0 abstains; all abstain where a text has no words.
+
+    Each distinct word is looked at once and counts as often as it occurs.
+    """
+    words = (text or "").split()
+    seen, n = Counter(words), len(words)
+    if not n:
         return [0] * len(LABELLERS)
-    n, size = len(words), sum(map(len, words))
-    symbols = sum(text.encode().count(c) for c in (SYMBOLS[k : k + 1] for k in range(len(SYMBOLS))))
-    low = text.lower()
-    cased = sum(a != b for a, b in zip(text, low)) if len(low) == len(text) else 0
-    upper = cased / max(1, sum(map(str.isalpha, text[:1 << 20]))) if cased else 0.0
-    folded = [w.lower().strip(b".,;:!?") for w in words]
-    variety = len(set(folded)) / n
-    known = sum(w in FUNCTION_WORDS for w in folded) / n
-    stops = sum(w.endswith((b".", b"?", b",")) for w in words) / n
-    band = lambda x, good, bad: 1 if x <= good else -1 if x > bad else 0
+    size = symbols = letters = capitals = plain = known = stops = 0
+    folded: Counter[str] = Counter()
+    for w, k in seen.items():
+        size += k * len(w)
+        stops += k * w.endswith((".", "?", ","))
+        bare = w.rstrip(".,;:!?")
+        if PLAIN.fullmatch(w):
+            plain += k
+            letters += k * len(bare)
+        else:
+            letters += k * sum(map(str.isalpha, w))
+            symbols += k * sum(map(w.count, SYMBOLS))
+        capitals += k * sum(map(str.isupper, bare)) if not bare.islower() else 0
+        low = bare.lower()
+        known += k * (low in FUNCTION_WORDS)
+        folded[low] += k
+    most = lambda x, good, bad: 1 if x <= good else -1 if x > bad else 0
+    least = lambda x, good, bad: 1 if x >= good else -1 if x < bad else 0
     return [
-        band(symbols / n, 0.03, 0.15),
-        band(upper, 0.2, 0.5),
+        most(symbols / n, 0.03, 0.15),
+        least(letters / size, 0.90, 0.80),
+        least(plain / n, 0.85, 0.60),
+        most(capitals / max(1, letters), 0.2, 0.5),
         1 if 3 <= size / n <= 10 else -1 if size / n < 2 or size / n > 14 else 0,
-        0 if n < 30 else 1 if variety >= 0.25 else -1 if variety < 0.1 else 0,
-        1 if known >= 0.1 else -1 if known < 0.02 else 0,
-        1 if 0.03 <= stops <= 0.4 else -1 if stops > 0.7 else 0,
+        0 if n < 10 else most(max(folded.values()) / n, 0.15, 0.3),
+        least(known / n, 0.10, 0.02),
+        1 if 0.03 <= stops / n <= 0.4 else -1 if stops / n > 0.7 else 0,
+        least(fresh_share(words), 0.8, 0.5),
+        0 if n < 10 else most(sum(map(str.__eq__, words, words[1:])) / n, 0.02, 0.15),
     ]
 
 
+def fresh_share(words: list) -> float:
+    """Distinct three-word windows over all of them; 1 where there are none."""
+    return len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 1.0
+
+
 def buckets(text: str | None, dims: int) -> np.ndarray:
-    """Hashed features of a text: its words as they are, their shapes, and the words' abuse flag, once per occurrence."""
+    """Hashed features of a text: its words as they are and their shapes, once per occurrence."""
     words = [] if text is None else text.encode().split()
     seen: dict[bytes, int] = {}
     out = np.empty(2 * len(words), np.int64)
@@ -71,13 +99,18 @@ def shape(word: bytes) -> bytes:
     case = b"U" if body.isupper() else b"T" if body[:1].isupper() else b"l" if body.islower() else b"o"
     last = word[-1:]
     end = last if last in b".,;:!?#*$%&|<>" else b"w"
-    return b"\x00" + case + bytes([min(len(word), 20)]) + end + (b"A" if body.lower() in ABUSE else b"")
+    return b"\x00" + case + bytes([min(len(word), 20)]) + end
 
 
 def features(text: str | None, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares times ten: at most ``dims`` of each, however long the text."""
+    """Buckets of a text and their values: at most ``dims`` of each, however long the text.
+
+    Words and shapes have their share times ten; one more bucket tells, in tenths, how much the text repeats itself.
+    """
     i, c = np.unique(buckets(text, dims), return_counts=True)
-    return i, (c / max(1, c.sum()) * 10).astype(np.float32)
+    x = c / max(1, c.sum()) * 10
+    own = zlib.crc32(b"\x01%d" % int(10 * fresh_share((text or "").split()))) % dims
+    return np.append(i, own), np.append(x, 2.0).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: list[float], dims: int, epochs: int, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -95,12 +128,13 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], target: list[float], dims:
     return w, b
 
 
-def classify_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dims: int = 1 << 14, sample: int = 3000, epochs: int = 5, least: float = 0.5) -> DataFrame:
-    """Every row of ``docs`` with score (probability of good quality), n_abuse and kept (score of at least ``least``
-    and no abuse).
+def classify_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", dims: int = 1 << 14, sample: int = 3000, epochs: int = 5, least: float = 0.1, abuse_share: float = 0.008) -> DataFrame:
+    """Every row of ``docs`` with score (probability of good quality), n_abuse and kept: a score of at least ``least``,
+    and less than ``abuse_share`` of the words abuse.
 
     The scorer is trained on the ``sample`` rows whose ids hash lowest, a documented bound on what the driver holds;
-    accuracies are estimated from all rows, and all rows are scored. Null or empty text has no features and gets the
+    accuracies are estimated from all rows, and all rows are scored. ``least`` is low since scores lie near 0 and 1 and a
+    good text that is lost costs more than a bad one kept. Null or empty text has no features and gets the
     bias alone. Repeated rows each give a row; columns named like a result give way; an empty table gives no rows.
     """
 
@@ -126,7 +160,7 @@ def classify_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     rows = few.orderBy(*order, "f").limit(sample).collect()
     w, b = train([(np.array(r.f.i, np.int64), np.array(r.f.x)) for r in rows], [r.y for r in rows], dims, epochs)
     shipped = ship(docs.sparkSession, (w, b))
-    kind = pa.struct([("score", pa.float64()), ("n_abuse", pa.int64())])
+    kind = pa.struct([("score", pa.float64()), ("n_abuse", pa.int64()), ("n_words", pa.int64())])
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = received(shipped)
@@ -134,18 +168,21 @@ def classify_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc
             out = []
             for x in batch:
                 t = x.as_py()
-                i = buckets(t, dims)
-                z = bias + (10 * weights[i].mean() if len(i) else 0.0)
-                out.append({"score": float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), "n_abuse": abuse(t)})
+                i, v = features(t, dims)
+                z = bias + weights[i] @ v
+                out.append({"score": float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), "n_abuse": abuse(t), "n_words": len((t or "").split())})
             yield pa.array(out, kind)
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     held = free_name(docs, "_scored")
-    scored = docs.withColumn(held, F.arrow_udf(score, "struct<score:double,n_abuse:bigint>")(text))
+    scored = docs.withColumn(held, F.arrow_udf(score, "struct<score:double,n_abuse:bigint,n_words:bigint>")(text))
     s = F.col(held)
-    return attach(scored, {"score": s["score"], "n_abuse": s["n_abuse"], "kept": (s["score"] >= least) & (s["n_abuse"] == 0)}).drop(held)
+    return attach(scored, {"score": s["score"], "n_abuse": s["n_abuse"], "kept": (s["score"] >= least) & (s["n_abuse"] <= abuse_share * s["n_words"])}).drop(held)
 
 
 def abuse(text: str | None) -> int:
-    """Words of a text that are on the list."""
-    return 0 if text is None else sum(w.strip(b".,;:!?#*$%&|") in ABUSE for w in text.encode().lower().split())
+    """Words of a text that are abuse, or begin like it."""
+    if text is None:
+        return 0
+    words = [w.strip(b".,;:!?#*$%&|") for w in text.lower().encode().split()]
+    return sum(w in ABUSE or w.startswith(ABUSE_STEMS) for w in words)

@@ -16,7 +16,9 @@ BLANK = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the corpus's languages; fixed values.
 FUNCTION_WORDS = tuple("the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".split())
-RULES = ("symbols", "capitals", "word_length", "repeated_words", "repeated_lines", "function_words")
+RULES = ("symbols", "letters", "plain_words", "capitals", "word_length", "repeated_words", "repeated_lines", "function_words")
+#: A word of letters with a mark at its end at most.
+PLAIN = r"^\p{L}++[.,;:!?]?$"
 #: A measure at most the first number votes good, one over the second votes bad, between them the rule abstains.
 LIMITS = {"symbols": (0.02, 0.10), "capitals": (0.20, 0.50), "repeated_words": (0.20, 0.50), "repeated_lines": (0.20, 0.60)}
 
@@ -59,6 +61,7 @@ def measured(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
     held = held.withColumn("tri", measures(F.col("words"))["tri"])
     n = F.size("words")
     frequent = F.size(F.filter("words", lambda w: w.isin(*FUNCTION_WORDS)))
+    plain = F.size(F.filter("words", lambda w: w.rlike(PLAIN)))
     m = F.struct(
         n.cast("long").alias("n_words"),
         F.col("word_chars"),
@@ -69,6 +72,7 @@ def measured(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
         F.col("n_letters"),
         F.col("n_capitals"),
         frequent.alias("n_frequent"),
+        plain.alias("n_plain"),
     )
     return held.select("row", m.alias("m"))
 
@@ -77,16 +81,19 @@ def votes(m: Column) -> Column:
     """Votes of RULES, from the measures."""
     share = lambda a, b: m[a].cast("double") / F.greatest(m[b], F.lit(1))
     limit = lambda x, name: F.when(x <= LIMITS[name][0], 1).when(x > LIMITS[name][1], -1).otherwise(0)
+    at_least = lambda x, good, bad: F.when(x >= good, 1).when(x < bad, -1).otherwise(0)
     length = share("word_chars", "n_words")
     known = share("n_frequent", "n_words")
     return F.when(m["n_words"] == 0, F.array(*[F.lit(0)] * len(RULES))).otherwise(
         F.array(
             limit(share("n_symbols", "n_words"), "symbols"),
+            at_least(share("n_letters", "word_chars"), 0.90, 0.80),
+            at_least(share("n_plain", "n_words"), 0.85, 0.60),
             limit(share("n_capitals", "n_letters"), "capitals"),
             F.when(length.between(3, 10), 1).when((length < 2) | (length > 14), -1).otherwise(0),
             limit(share("n_repeat_words", "n_words"), "repeated_words"),
             limit(share("n_dup_lines", "n_lines"), "repeated_lines"),
-            F.when(known >= 0.10, 1).when(known < 0.02, -1).otherwise(0),
+            at_least(known, 0.10, 0.02),
         )
     )
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, quoted
+from .common import quoted
 
 
 def hilbert_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -79,41 +79,41 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     all of these are interchangeable. Columns named like a result give way. Fewer rows than shards leave shards
     empty; an empty table gives no rows. Only ids and metadata are shuffled.
     """
-    text = F.col(quoted(text_col)).cast("binary")
-    slim = docs.select(*[F.col(quoted(c)) for c in docs.columns if c != text_col], (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("__size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("__crc"))
+    text, i = F.col(quoted(text_col)).cast("binary"), F.col(quoted(id_col))
     names = set(docs.columns)
     scale = {"hash": by_hash, "log": log_scale}
-    coordinates = [scale[how](F.col(quoted(c)), bits) if c in names else F.lit(0) for c, how in dims]
-    part = F.pmod(F.xxhash64(F.col(quoted(id_col)).cast("string")), F.lit(spread))
-    placed = slim.withColumn("__cell", curve(coordinates, bits)).withColumn("__bucket", F.col("__cell") * spread + part)
-    counts = placed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = running_offsets(counts, bits * len(dims), spread)
-    order = Window.partitionBy("__bucket").orderBy(F.col(quoted(id_col)).asc_nulls_first(), "__crc", "__size")
-    ranked = placed.join(offsets, "__bucket").withColumn("__rank", F.col("offset") + F.row_number().over(order) - 1)
+    coordinates = [scale[how](F.col(quoted(c)), bits).alias(f"d{k}") if c in names else F.lit(0).alias(f"d{k}") for k, (c, how) in enumerate(dims)]
+    own = F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text_col])
+    part = F.pmod(F.xxhash64(i.cast("string")), F.lit(spread))
+    slim = docs.select(own.alias("row"), i.alias("id"), (F.coalesce(F.length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(b""))).alias("crc"), part.alias("part"), *coordinates)
+    placed = slim.select("row", "id", "size", "crc", "part", curve([F.col(f"d{k}") for k in range(len(dims))], bits).alias("cell")).withColumn("bucket", F.col("cell") * spread + F.col("part"))
+    offsets = running_offsets(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    order = Window.partitionBy("bucket").orderBy(F.col("id").asc_nulls_first(), "crc", "size")
+    ranked = placed.join(offsets, "bucket").withColumn("rank", F.col("offset") + F.row_number().over(order) - 1)
     # the first total % shards runs have one row more
-    rank, few, more = F.col("__rank"), F.floor(F.col("total") / shards).cast("long"), F.pmod(F.col("total"), F.lit(shards))
+    rank, few, more = F.col("rank"), F.floor(F.col("total") / shards).cast("long"), F.pmod(F.col("total"), F.lit(shards))
     long_rows = more * (few + 1)
-    ranked = ranked.withColumn("__shard", F.when(rank < long_rows, F.floor(rank / (few + 1))).otherwise(more + F.floor((rank - long_rows) / F.greatest(few, F.lit(1)))).cast("int"))
-    shard = F.col("__shard")
+    shard = F.when(rank < long_rows, F.floor(rank / (few + 1))).otherwise(more + F.floor((rank - long_rows) / F.greatest(few, F.lit(1)))).cast("int")
     slot = F.when(shard < more, rank - shard * (few + 1)).otherwise(rank - long_rows - (shard - more) * few).cast("long")
-    out = attach(ranked, {"size": F.col("__size"), "text_crc32": F.col("__crc"), "cell": F.col("__cell"), "shard": shard, "slot": slot})
-    return out.drop("__size", "__crc", "__cell", "__bucket", "__rank", "__shard", "offset", "total")
+    found = {"size": F.col("size"), "text_crc32": F.col("crc"), "cell": F.col("cell"), "shard": shard, "slot": slot}
+    kept = [F.col("row." + quoted(c)) for c in docs.columns if c != text_col and c.lower() not in found]
+    return ranked.select(*kept, *[v.alias(k) for k, v in found.items()])
 
 
-def running_offsets(counts: DataFrame, cell_bits: int, spread: int, block: int = 1024) -> DataFrame:
+def running_offsets(counts: DataFrame, block: int = 1024) -> DataFrame:
     """For each bucket the rows before it, and the rows in all.
 
-    Buckets are summed in blocks first: there are at most 2^cell_bits * spread / block of these, so the one window
-    over all blocks is small whatever the corpus.
+    Buckets are summed in blocks first. There are 2^(bits * dims) * spread / block of these at most, 2,048 as used, so
+    the one window over all blocks is small whatever the corpus.
     """
-    blocked = counts.withColumn("block", F.floor(F.col("__bucket") / block))
+    blocked = counts.withColumn("block", F.floor(F.col("bucket") / block))
     blocks = blocked.groupBy("block").agg(F.sum("n").alias("n"))
     whole = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = blocks.select("block", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("start"), F.sum("n").over(every).alias("total"))
-    within = Window.partitionBy("block").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocked.join(starts, "block")
-    return placed.select("__bucket", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("offset"), "total")
+    return placed.select("bucket", (F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("offset"), "total")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", **options) -> DataFrame:

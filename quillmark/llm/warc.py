@@ -49,7 +49,10 @@ def record_id(page_id, digest: str, copy: int) -> str:
 
 def header_text(value: str) -> str:
     """A value that stays on its header line: controls, blanks at the ends and percent signs are percent-encoded."""
-    return re.sub(r"[\x00-\x20\x7f-\x9f  %]" if re.search(r"[\x00-\x20\x7f-\x9f  ]", value) else r"(?!)", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
+    odd = "[\\x00-\\x20\\x7f-\\x9f\\u2028\\u2029]"
+    if not re.search(odd, value):
+        return value
+    return re.sub(odd + "|%", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), value)
 
 
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, is_response: bool, copy: int, date: str) -> bytes:
