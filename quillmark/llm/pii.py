@@ -99,7 +99,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", near: int = 40, threshold:
     kind never overlap, spans of several kinds may. Nothing is shuffled, and whole texts are searched.
     """
     held = free_name(docs, "_marked")
-    plain = docs.withColumn(held, F.translate(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), MARK, STAND_IN))
+    plain = docs.withColumn(held, F.replace(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")), F.lit(MARK), F.lit(STAND_IN)))
     spans = F.concat(*[spans_of(F.col(held), k, near, threshold) for k in KINDS])
     return attach(plain, {"pii": spans}).drop(held)
 
