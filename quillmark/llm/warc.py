@@ -21,8 +21,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, quoted, stash
@@ -147,13 +148,28 @@ def cut_points(pages: DataFrame, id_col: str, size_col: str, shard_bytes: int, b
     return cuts
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 128 << 20, roll_bytes: int = 32 << 20, level: int = 6, date: str = "2020-01-01T00:00:00Z") -> str:
+def shard_of(page_id: Column, cuts: list[int]) -> Column:
+    """The number of cut points at or below an id; a null id goes to the last shard."""
+    points = np.array(cuts, np.int64)
+
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            place = np.searchsorted(points, batch.fill_null(0).to_numpy(), side="right")
+            yield pa.array(np.where(batch.is_null().to_numpy(zero_copy_only=False), len(points), place).astype(np.int32))
+
+    find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, "int")(page_id)
+
+
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 32 << 20, most_shards: int = 8192, roll_bytes: int = 1 << 30, level: int = 6, date: str = "2020-01-01T00:00:00Z") -> str:
     """Writes one record per row of ``pages`` into a new folder and returns the folder.
 
     A null payload is empty. Payloads of at least ``min_revisit_bytes`` that equal that of a row with a smaller id are
     revisits of the smallest; rows equal in id and payload count as copies of which the first is the response. Rows
     with a null id follow all others. Null URLs are written as ``urn:page:`` and the id. Other columns are not read.
-    An empty table gives a manifest without files. ``shard_bytes`` are payload bytes; a record is never split.
+    An empty table gives a manifest without files. ``shard_bytes`` are payload bytes, more where there would be over
+    ``most_shards`` shards; each shard is one task's sorted run, in one file or, from ``roll_bytes`` of compressed size
+    on, several. A record is never split.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
@@ -164,13 +180,12 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     slim = stash(rows.select("id", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1")), "warc-digests")
     # copies are summed up by digest before the shuffle; only digests that occur twice are looked up again
     firsts = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha1", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    cuts = cut_points(slim, "id", "bytes", shard_bytes)
+    total = slim.agg(F.sum("bytes").alias("n")).first().n or 0
+    cuts = cut_points(slim, "id", "bytes", max(shard_bytes, -(-total // most_shards)))
     firsts = stash(firsts.select(F.col("sha1").alias("f_sha1"), "first", F.lit(True).alias("again")), "warc-firsts")
     keyed = rows.withColumn("sha1", F.sha1("payload"))
     joined = keyed.join(firsts, keyed.sha1 == firsts.f_sha1, "left").drop("f_sha1")
-    # the number of cut points at or below an id is its shard; a null id goes to the last
-    shard = F.coalesce(F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col("id") >= c, 1).otherwise(0)), F.lit(len(cuts))) if cuts else F.lit(0)
-    ranged = joined.withColumn("shard", shard).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "sha1", "url")
+    ranged = joined.withColumn("shard", shard_of(F.col("id"), cuts)).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "sha1", "url")
     dedup = min_revisit_bytes
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
