@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import count_of, display_clean, folded, let, normalized, word_count, words
+from .text import count_of, display_clean, folded, let, normalized
 
 
 def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
@@ -36,14 +36,12 @@ def generator_facts(function: Column) -> dict[str, Column]:
 
 def coverage_facts(function: Column) -> Column:
     """Types of the facts that a function shows, in their fixed order."""
-    code = lowered(function)
-    return present([(name, contains_any(code, seen)) for name, (seen, _) in rules.COVERAGE_FACTS.items()])
+    return let(lowered(function), lambda code: present([(name, contains_any(code, seen)) for name, (seen, _) in rules.COVERAGE_FACTS.items()]))
 
 
 def covered_facts(facts: Column, comment: Column) -> Column:
     """Those of ``facts`` that the comment names; terms are substrings."""
-    text = lowered(comment)
-    return present([(name, F.array_contains(facts, name) & contains_any(text, terms)) for name, (_, terms) in rules.COVERAGE_FACTS.items()])
+    return let(lowered(comment), lambda text: present([(name, F.array_contains(facts, name) & contains_any(text, terms)) for name, (_, terms) in rules.COVERAGE_FACTS.items()]))
 
 
 def coverage(facts: Column, covered: Column) -> Column:
@@ -53,19 +51,21 @@ def coverage(facts: Column, covered: Column) -> Column:
 
 def claim_evidence(function: Column) -> Column:
     """Per flag, whether the function lets a claim of its kind stand against it; computed once a function."""
-    code = lowered(function)
-    shown = []
-    for flag, needed, evidence, _ in rules.CLAIM_FLAGS:
-        has = contains_any(code, evidence)
-        if flag == "unsupported_bool_return":
-            has = has | code.rlike(rules.BOOL_RETURN)
-        shown.append(has if needed else ~has)
-    return F.array(*shown)
+
+    def shown(code: Column) -> Column:
+        out = []
+        for flag, needed, evidence, _ in rules.CLAIM_FLAGS:
+            has = contains_any(code, evidence)
+            if flag == "unsupported_bool_return":
+                has = has | code.rlike(rules.BOOL_RETURN)
+            out.append(has if needed else ~has)
+        return F.array(*out)
+
+    return let(lowered(function), shown)
 
 
 def claim_flags(evidence: Column, comment: Column) -> Column:
-    text = lowered(comment)
-    return present([(flag, F.get(evidence, k) & contains_any(text, claims)) for k, (flag, _, _, claims) in enumerate(rules.CLAIM_FLAGS)])
+    return let(lowered(comment), lambda text: present([(flag, F.get(evidence, k) & contains_any(text, claims)) for k, (flag, _, _, claims) in enumerate(rules.CLAIM_FLAGS)]))
 
 
 def claim_penalty(flags: Column) -> Column:
@@ -79,8 +79,8 @@ def clamp(x: Column) -> Column:
 def style(comment: Column) -> Column:
     """Struct of f_style and style_flags. Deductions are subtracted one after another, in double precision."""
 
-    def judge(text: Column) -> Column:
-        n, low = word_count(text), F.lower(text)
+    def judge(r: Column) -> Column:
+        n, low, text = r["n"], r["low"], r["text"]
         parts = [
             (n < 5, 0.35, "too_short"),
             ((n >= 5) & (n < 8), 0.15, "slightly_short"),
@@ -91,15 +91,23 @@ def style(comment: Column) -> Column:
             (contains_any(low, rules.TEMPLATE_PHRASES), 0.25, "template_phrase"),
             (~F.substring(text, -1, 1).isin(".", "!", "?"), 0.05, "no_sentence_end"),
         ]
+        empty = F.struct(F.lit(0.0).alias("f_style"), F.array(F.lit("empty")).alias("style_flags"))
+        return F.when(text == "", empty).otherwise(let(F.array(*[holds for holds, _, _ in parts]), lambda told: added_up(told, parts)))
+
+    def added_up(told: Column, parts: list) -> Column:
         # ((1 - a) - b) - c keeps the order of subtraction whatever applies
         score = F.lit(1.0)
-        for holds, less, _ in parts:
-            score = score - F.when(holds, less).otherwise(0.0)
-        flags = present([(flag, holds) for holds, _, flag in parts])
-        empty = F.struct(F.lit(0.0).alias("f_style"), F.array(F.lit("empty")).alias("style_flags"))
-        return F.when(text == "", empty).otherwise(F.struct(clamp(score).alias("f_style"), flags.alias("style_flags")))
+        for k, (_, less, _) in enumerate(parts):
+            score = score - F.when(F.get(told, k), less).otherwise(0.0)
+        flags = present([(flag, F.get(told, k)) for k, (_, _, flag) in enumerate(parts)])
+        return F.struct(clamp(score).alias("f_style"), flags.alias("style_flags"))
 
-    return let(normalized(comment), judge)
+    return let(normalized(comment), lambda t: let(F.struct(t.alias("text"), F.lower(t).alias("low"), F.size(squeezed_words(t)).alias("n")), judge))
+
+
+def squeezed_words(text: Column) -> Column:
+    """The words of a text whose white space is squeezed already."""
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(text, " "))
 
 
 @dataclass(frozen=True)
@@ -141,19 +149,19 @@ def probably_english(text: Column) -> Column:
     sign have ASCII lower case, so they count as ASCII."""
 
     def judge(t: Column) -> Column:
-        letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-        ascii_letters = F.length(F.regexp_replace(t, r"[^A-Za-z\u0130\u212a]", ""))
-        return (letters > 0) & ~contains_any(F.lower(t), rules.FOREIGN_MARKERS) & (ascii_letters / F.greatest(letters, F.lit(1)) >= 0.95)
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+        ascii_letters = F.length(F.regexp_replace(t, r"[^A-Za-z\u0130\u212a]+", ""))
+        return (letters > 0) & ~let(F.lower(t), lambda low: contains_any(low, rules.FOREIGN_MARKERS)) & (ascii_letters / F.greatest(letters, F.lit(1)) >= 0.95)
 
     return let(F.coalesce(text, F.lit("")), judge)
 
 
 def has_artifact(text: Column) -> Column:
-    return contains_any(lowered(text), rules.ARTIFACTS)
+    return let(lowered(text), lambda t: contains_any(t, rules.ARTIFACTS))
 
 
 def has_return_artifact(text: Column) -> Column:
-    return contains_any(F.concat(F.lit(" "), folded(text), F.lit(" ")), rules.RETURN_ARTIFACTS)
+    return let(F.concat(F.lit(" "), folded(text), F.lit(" ")), lambda t: contains_any(t, rules.RETURN_ARTIFACTS))
 
 
 def is_too_generic(text: Column) -> Column:
@@ -162,17 +170,25 @@ def is_too_generic(text: Column) -> Column:
 
 def is_valid_comment(comment: Column) -> Column:
     """Whether a comment may take part in a pair. Artifacts are looked for in the raw comment, all else as displayed."""
+    return ~has_artifact(comment) & let(display_clean(comment), is_valid_display)
 
-    def judge(t: Column) -> Column:
-        n, low = word_count(t), F.lower(t)
-        half = F.floor(n / 2).cast("int")
-        own = words(low)
-        repeated = (n >= 8) & (F.array_join(F.slice(own, F.lit(1), F.greatest(half, F.lit(1))), " ") == F.array_join(F.slice(own, F.greatest(half, F.lit(1)) + 1, n), " "))
-        return n.between(3, 40) & probably_english(t) & ~has_return_artifact(t) & ~is_too_generic(t) & ~contains_any(low, rules.BOILERPLATE) & ~repeated
 
-    return ~has_artifact(comment) & let(display_clean(comment), judge)
+def is_valid_display(shown: Column) -> Column:
+    """The part of validity that is judged by the displayed text, squeezed as it is."""
+
+    def judge(r: Column) -> Column:
+        t, low, own = r["t"], r["low"], r["own"]
+        n = F.size(own)
+        half = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
+        repeated = (n >= 8) & (F.array_join(F.slice(own, F.lit(1), half), " ") == F.array_join(F.slice(own, half + 1, n), " "))
+        return n.between(3, 40) & ~contains_any(low, rules.BOILERPLATE) & ~is_too_generic(low) & ~has_return_artifact(low) & probably_english(t) & ~repeated
+
+    return let(F.struct(shown.alias("t"), F.lower(shown).alias("low")), lambda x: let(F.struct(x["t"].alias("t"), x["low"].alias("low"), squeezed_words(x["low"]).alias("own")), judge))
 
 
 def length_penalty(comment: Column) -> Column:
-    n = word_count(display_clean(comment))
-    return F.when(n < 5, 0.03).when(n <= 15, 0.0).when(n <= 25, 0.05).when(n <= 40, 0.10).otherwise(0.20)
+    return let(display_clean(comment), display_penalty)
+
+
+def display_penalty(shown: Column) -> Column:
+    return let(F.size(squeezed_words(shown)), lambda n: F.when(n < 5, 0.03).when(n <= 15, 0.0).when(n <= 25, 0.05).when(n <= 40, 0.10).otherwise(0.20))

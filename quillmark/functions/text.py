@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: White space is the same 29 code points everywhere; trim() and \s of the engines at hand know fewer or others.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{SPACE}]"
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 #: What model output may start with, in the order in which it is taken off.
@@ -45,12 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """White space at the ends goes, other runs become one blank."""
-    return strip(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
 
 
 def normalized(text: Column) -> Column:
@@ -63,6 +64,12 @@ def folded(text: Column) -> Column:
     return F.lower(normalized(text))
 
 
+def exploded(rows, keep: list, array: Column, place: str, item: str):
+    """One row per element, with its place. The outer form and a filter after it: for the plain form the optimizer
+    infers a filter on the array's size, which it moves below, and so computes the array a second time."""
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, item)).where(F.col(place).isNotNull())
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
 

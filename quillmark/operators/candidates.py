@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.scoring import generator_facts
+from ..functions.scoring import contains_any
 from ..functions.text import folded, let, prediction_clean, without_terms
 
 CANDIDATE = "struct<source:string,comment:string,role_hint:string,perturbation_type:string,decode_strategy:string,model_stage:string,temperature:double>"
@@ -32,10 +32,12 @@ def first_of_each(items: Column, key) -> Column:
 def hard_negatives(function: Column, reference: Column, most: int = 4) -> Column:
     """Plausible but unfaithful comments, as candidates: rules in order, cleaned, first of equal ones, then the first
     ``most``. A rule whose text is blank or a repeat gives nothing, but one cut off later has had its turn."""
-    facts = generator_facts(function)
+    names = list(rules.GENERATOR_FACTS)
+    found = let(F.lower(F.coalesce(function, F.lit(""))), lambda code: F.array(*[contains_any(code, rules.GENERATOR_FACTS[n]) for n in names]))
 
-    def build(ref: Column) -> Column:
-        low = F.lower(ref)
+    def build(r: Column) -> Column:
+        ref, low = r["ref"], F.lower(r["ref"])
+        facts = {n: F.get(r["found"], k) for k, n in enumerate(names)}
         owner = F.regexp_replace(F.regexp_replace(ref, r"(?i)\bonly the owner\b", "any user"), r"(?i)\bowner\b", "user")
         admin = F.regexp_replace(ref, r"(?i)\badmin\b", "user")
         reversal = F.when(F.contains(low, F.lit("owner")), owner).when(F.contains(low, F.lit("admin")), admin).otherwise(F.lit(rules.ANY_USER))
@@ -49,7 +51,8 @@ def hard_negatives(function: Column, reference: Column, most: int = 4) -> Column
         as_item = lambda source, kind, text: candidate(source=F.lit(source), comment=text if isinstance(text, Column) else F.lit(text), role_hint=F.lit("negative_only"), perturbation_type=F.lit(kind))
         return F.filter(F.array(*[F.when(holds, as_item(s, k, t)) for holds, s, k, t in made]), lambda x: x.isNotNull())
 
-    cleaned = F.transform(let(prediction_clean(reference), build), lambda x: x.withField("comment", prediction_clean(x["comment"])))
+    record = F.struct(prediction_clean(reference).alias("ref"), found.alias("found"))
+    cleaned = F.transform(let(record, build), lambda x: x.withField("comment", prediction_clean(x["comment"])))
     return F.slice(first_of_each(F.filter(cleaned, lambda x: x["comment"] != ""), lambda x: folded(x["comment"])), 1, most)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import PAIRING_SYSTEM_PROMPT, display_clean, folded, let, pair_prompt
+from ..functions.text import PAIRING_SYSTEM_PROMPT, display_clean, exploded, let, pair_prompt
 from .candidates import first_of_each
 
 
@@ -29,11 +29,11 @@ def usable(candidates: Column) -> Column:
     """Scored, valid candidates, the first of those that are displayed alike, with what selection needs of each."""
 
     def item(c: Column, i: Column) -> Column:
-        text = display_clean(c["comment"])
-        return F.struct(i.alias("pos"), text.alias("text"), folded(text).alias("key"), (c["score"] - S.length_penalty(c["comment"])).alias("adj"), S.is_hard_negative(c["source"], c["role_hint"]).alias("hard"), c.alias("c"))
+        made = lambda text: F.struct(i.alias("pos"), text.alias("text"), F.lower(text).alias("key"), (c["score"] - S.display_penalty(text)).alias("adj"), S.is_hard_negative(c["source"], c["role_hint"]).alias("hard"), S.is_valid_display(text).alias("valid"), c.alias("c"))
+        return let(display_clean(c["comment"]), made)
 
-    valid = F.filter(candidates, lambda c: c["score"].isNotNull() & S.is_valid_comment(c["comment"]))
-    return first_of_each(F.transform(valid, item), lambda x: x["key"])
+    open_ones = F.filter(candidates, lambda c: c["score"].isNotNull() & ~S.has_artifact(c["comment"]))
+    return first_of_each(F.filter(F.transform(open_ones, item), lambda x: x["valid"]), lambda x: x["key"])
 
 
 def ranked(items: Column, falling: bool) -> Column:
@@ -88,7 +88,7 @@ SIDE = {"source": "source", "role_hint": "role_hint", "score": "score", "f_code"
 
 def build_pairs(scored: DataFrame, p: PairRules = PairRules()) -> DataFrame:
     """Flat preference pairs of scored records (id, instruction, function, reference, candidates)."""
-    rows = scored.select("id", "instruction", "function", "reference", F.posexplode(choose(F.col("candidates"), p)).alias("pair_index", "pair"))
+    rows = exploded(scored, ["id", "instruction", "function", "reference"], choose(F.col("candidates"), p), "pair_index", "pair")
     flat = [
         F.concat(F.col("id").cast("string"), F.lit("_pair_"), F.col("pair_index").cast("string")).alias("id"),
         F.col("id").alias("source_id"),
@@ -107,24 +107,29 @@ def build_pairs(scored: DataFrame, p: PairRules = PairRules()) -> DataFrame:
 
 
 def pair_summary(records: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: counts, margins (0 without pairs), five distributions as maps, and violations of the two invariants."""
+    """One row: counts, margins (0 without pairs), five distributions as maps, and violations of the two invariants.
+
+    Pairs are gone through once: they are summed up by their five kinds, of which there are few combinations, and all
+    else comes from that table.
+    """
     kinds = {"pair_type": "pair_type", "chosen_source": "chosen_source", "rejected_source": "rejected_source", "chosen_role": "chosen_role_hint", "rejected_role": "rejected_role_hint"}
+    small = pairs.groupBy(*kinds.values()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.endswith("id", F.lit("_pair_0"))).alias("k"), F.sum("margin").alias("s"), F.max("margin").alias("high"), F.min("margin").alias("low"))
     names = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.lit("")).alias("value")) for k, c in kinds.items()])
-    # the five distributions come from one pass: each pair gives five small rows, summed up before the shuffle
-    counted = pairs.select(F.explode(names).alias("e")).groupBy("e.kind", "e.value").agg(F.count(F.lit(1)).alias("n"))
+    counted = small.select("n", F.explode(names).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n").alias("n"))
     maps = counted.agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "n"))))).alias(f"{k}_distribution") for k in kinds])
     bad_chosen = S.is_hard_negative(F.col("chosen_source"), F.col("chosen_role_hint"))
     bad_rejected = S.is_reference(F.col("rejected_source")) | S.is_anchor(F.col("rejected_role_hint"))
-    totals = pairs.agg(
-        F.count(F.lit(1)).alias("num_dpo_pairs"),
-        F.coalesce(F.avg("margin"), F.lit(0.0)).alias("avg_margin"),
-        F.coalesce(F.max("margin"), F.lit(0.0)).alias("max_margin"),
-        F.coalesce(F.min("margin"), F.lit(0.0)).alias("min_margin_actual"),
-        F.count_if(bad_chosen).alias("invalid_chosen_hard_negative"),
-        F.count_if(bad_rejected).alias("invalid_rejected_reference"),
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    totals = small.agg(
+        total(F.col("n")).alias("num_dpo_pairs"),
+        F.coalesce(F.try_divide(F.sum("s"), F.sum("n")), F.lit(0.0)).alias("avg_margin"),
+        F.coalesce(F.max("high"), F.lit(0.0)).alias("max_margin"),
+        F.coalesce(F.min("low"), F.lit(0.0)).alias("min_margin_actual"),
+        total(F.when(bad_chosen, F.col("n"))).alias("invalid_chosen_hard_negative"),
+        total(F.when(bad_rejected, F.col("n"))).alias("invalid_rejected_reference"),
+        total(F.col("k")).alias("k"),
     )
-    with_pairs = pairs.agg(F.count_distinct("source_id").alias("k"))
     whole = records.agg(F.count(F.lit(1)).alias("num_records"))
-    # four tables of one row each
-    row = whole.join(totals).join(with_pairs).join(maps)
+    # three tables of one row each
+    row = whole.join(totals).join(maps)
     return row.withColumn("skipped_records_without_pairs", F.col("num_records") - F.col("k")).drop("k")

@@ -6,38 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
-from ..functions.text import normalized
+from ..functions.text import exploded, normalized
 
 
 def explode_candidates(records: DataFrame, *carry: str) -> DataFrame:
     """One row per candidate that is not blank, with its place ``pos`` in the record."""
-    rows = records.select("id", *carry, F.posexplode("candidates").alias("pos", "candidate"))
+    rows = exploded(records, ["id", *carry], F.col("candidates"), "pos", "candidate")
     return rows.where(normalized(F.col("candidate.comment")) != "")
 
 
-def score_record(function: str, candidates: str, side: Column, sem: Column, weights: S.Weights = S.Weights()) -> Column:
+def score_record(candidates: Column, side: Column, sem: Column, facts: Column, evidence: Column, weights: S.Weights = S.Weights()) -> Column:
     """The scored candidates of a record, best first; ties keep their order.
 
     ``side`` and ``sem`` are arrays of raw similarities by place. Blank candidates are left out; a similarity that is
-    missing counts as 0. What depends on the function alone is found once a record, in ``facts`` and ``evidence``.
+    missing counts as 0. What depends on the record alone is bound before the candidates are gone through; named only
+    within a lambda, the optimizer would move its computation in there, once a candidate.
     """
+    record = F.struct(candidates.alias("candidates"), side.alias("side"), sem.alias("sem"), facts.alias("facts"), evidence.alias("evidence"))
 
-    def scored(c: Column, i: Column) -> Column:
-        covered = S.covered_facts(F.col("facts"), c["comment"])
-        flags = S.claim_flags(F.col("evidence"), c["comment"])
-        own = F.struct(S.style(c["comment"]).alias("style"), covered.alias("covered"), flags.alias("flags"), F.coalesce(F.get(side, i), F.lit(0.0)).alias("side"), F.coalesce(F.get(sem, i), F.lit(0.0)).alias("sem"))
-        return S.let(own, lambda o: finish(c, i, o))
+    def all_of(r: Column) -> Column:
+        def scored(c: Column, i: Column) -> Column:
+            covered = S.covered_facts(r["facts"], c["comment"])
+            flags = S.claim_flags(r["evidence"], c["comment"])
+            own = F.struct(S.style(c["comment"]).alias("style"), covered.alias("covered"), flags.alias("flags"), F.coalesce(F.get(r["side"], i), F.lit(0.0)).alias("side"), F.coalesce(F.get(r["sem"], i), F.lit(0.0)).alias("sem"))
+            return S.let(own, lambda o: finish(c, i, o, r["facts"]))
 
-    def finish(c: Column, i: Column, o: Column) -> Column:
-        f_code, f_sem, f_sec, penalty = S.clamp(o["side"]), S.clamp(o["sem"]), S.coverage(F.col("facts"), o["covered"]), S.claim_penalty(o["flags"])
+        return F.array_sort(F.filter(F.transform(r["candidates"], scored), lambda x: normalized(x["comment"]) != ""))
+
+    def finish(c: Column, i: Column, o: Column, own_facts: Column) -> Column:
+        f_code, f_sem, f_sec, penalty = S.clamp(o["side"]), S.clamp(o["sem"]), S.coverage(own_facts, o["covered"]), S.claim_penalty(o["flags"])
         score = S.final_score(f_code, f_sem, f_sec, o["style"]["f_style"], penalty, weights)
-        plain = {"side_raw": o["side"], "f_code": f_code, "sentence_sim_raw": o["sem"], "f_sem": f_sem, "f_sec": f_sec, "hallucination_penalty": penalty, "f_style": o["style"]["f_style"], "num_security_facts": F.size("facts"), "security_facts": F.col("facts"), "covered_security_facts": o["covered"], "hallucination_flags": o["flags"], "style_flags": o["style"]["style_flags"]}
+        plain = {"side_raw": o["side"], "f_code": f_code, "sentence_sim_raw": o["sem"], "f_sem": f_sem, "f_sec": f_sec, "hallucination_penalty": penalty, "f_style": o["style"]["f_style"], "num_security_facts": F.size(own_facts), "security_facts": own_facts, "covered_security_facts": o["covered"], "hallucination_flags": o["flags"], "style_flags": o["style"]["style_flags"]}
         fields = [c[k].alias(k) for k in ("source", "comment", "role_hint", "perturbation_type", "decode_strategy", "model_stage", "temperature")]
+        # structs compare field by field, so they sort by score, then by place
         return F.struct((-score).alias("order"), i.alias("pos"), score.alias("score"), *fields, *[v.alias(k) for k, v in plain.items()])
 
-    made = F.filter(F.transform(F.col(candidates), scored), lambda x: normalized(x["comment"]) != "")
-    # structs compare field by field, so the order is by score, then by place
-    return F.array_sort(made)
+    return S.let(record, all_of)
 
 
 def score_records(records: DataFrame, side: Column, sem: Column, weights: S.Weights = S.Weights()) -> DataFrame:
@@ -46,7 +50,7 @@ def score_records(records: DataFrame, side: Column, sem: Column, weights: S.Weig
     Nothing is shuffled. A record without scored candidates has null best and worst, and a range of 0.
     """
     held = records.withColumns({"facts": S.coverage_facts(F.col("function")), "evidence": S.claim_evidence(F.col("function")), "side": side, "sem": sem})
-    held = held.withColumn("candidates", score_record("function", "candidates", F.col("side"), F.col("sem"), weights)).drop("facts", "evidence", "side", "sem")
+    held = held.withColumn("candidates", score_record(F.col("candidates"), F.col("side"), F.col("sem"), F.col("facts"), F.col("evidence"), weights)).drop("facts", "evidence", "side", "sem")
     best, worst = F.try_element_at("candidates", F.lit(1)), F.try_element_at("candidates", F.lit(-1))
     gap = F.coalesce(best["score"] - worst["score"], F.lit(0.0))
     return held.withColumns({"best_candidate": best, "worst_candidate": worst, "score_range": gap})

@@ -175,7 +175,7 @@ PLAN = C.GenerationPlan(sampling=((0.3, 1),))
 
 @query(f"SELECT k, CAST(place - 1 AS INTEGER) AS pos, source, comment, kind AS perturbation_type FROM {sql.negatives()}")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus.pool(spark, sf_dir).select("k", F.posexplode(C.hard_negatives(F.col("function"), F.col("reference"))).alias("pos", "c"))
+    rows = T.exploded(corpus.pool(spark, sf_dir), ["k"], C.hard_negatives(F.col("function"), F.col("reference")), "pos", "c")
     return rows.select("k", "pos", "c.source", "c.comment", "c.perturbation_type")
 
 
@@ -185,7 +185,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT k, CAST(pos AS INTEGER) AS pos, source, comment, role_hint FROM {sql.candidates()}")
 def candidate_union_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(spark, sf_dir).select("k", F.posexplode("candidates").alias("pos", "c"))
+    rows = T.exploded(records(spark, sf_dir), ["k"], F.col("candidates"), "pos", "c")
     return rows.select("k", "pos", "c.source", "c.comment", "c.role_hint")
 
 
@@ -212,7 +212,8 @@ def _scored_sql(kind: str) -> str:
 
 
 def flat_scores(spark: SparkSession, sf_dir: str, flat: bool) -> DataFrame:
-    rows = scored_corpus(spark, sf_dir, flat).select("k", F.col("best_candidate.source").alias("best_source"), F.col("worst_candidate.source").alias("worst_source"), F.round("score_range", 9).alias("score_range"), F.posexplode("candidates").alias("place", "c"))
+    ends = [F.col("best_candidate.source").alias("best_source"), F.col("worst_candidate.source").alias("worst_source"), F.round("score_range", 9).alias("score_range")]
+    rows = T.exploded(scored_corpus(spark, sf_dir, flat), ["k", *ends], F.col("candidates"), "place", "c")
     return rows.select("k", "place", "c.source", F.round("c.score", 9).alias("score"), "c.f_sec", "c.f_style", "c.hallucination_penalty", "best_source", "worst_source", "score_range")
 
 
@@ -232,7 +233,7 @@ def pool_rows(spark: SparkSession, sf_dir: str, chosen: bool) -> DataFrame:
     win = F.filter(items, lambda x: ~x["hard"] & (x["c"]["score"] >= rule.min_chosen_score) & (x["c"]["hallucination_penalty"] <= 0) & (x["c"]["f_style"] >= rule.min_chosen_style))
     lose = F.filter(items, lambda x: ~S.is_reference(x["c"]["source"]) & ~S.is_anchor(x["c"]["role_hint"]) & (x["c"]["score"] <= rule.max_rejected_score))
     held = scored_corpus(spark, sf_dir).select("k", pairs.usable(F.col("candidates")).alias("items"))
-    rows = held.select("k", F.posexplode(pairs.ranked(win, True) if chosen else pairs.ranked(lose, False)).alias("at", "x"))
+    rows = T.exploded(held, ["k"], pairs.ranked(win, True) if chosen else pairs.ranked(lose, False), "at", "x")
     return rows.select("k", (F.col("at") + 1).alias("rank"), "x.text", F.col("x.c.source").alias("source"), F.round("x.adj", 9).alias("adjusted"))
 
 

@@ -57,7 +57,7 @@ def similarities(records: DataFrame, encoder: vectors.Encoder) -> DataFrame:
 
     Each distinct text is encoded once; a candidate's place travels with it, and rows meet again by id.
     """
-    rows = records.select("id", "function", "reference", F.posexplode("candidates.comment").alias("pos", "comment"))
+    rows = T.exploded(records, ["id", "function", "reference"], F.col("candidates.comment"), "pos", "comment")
     near = vectors.text_similarity(vectors.text_similarity(rows, "function", "comment", encoder, "side"), "comment", "reference", encoder, "sem")
     packed = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "side", "sem"))).alias("s"))
     return records.join(packed, "id", "left").withColumns({"side": F.col("s.side"), "sem": F.col("s.sem")}).drop("s")
