@@ -12,67 +12,58 @@ from pyspark.sql import functions as F
 from .common import quoted, stash
 from .weak_supervision import fit
 
-BLANK = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"\x20\x09-\x0D"
+BLANK, BLANKS = f"[{SPACE}]+", " \t\n\x0b\x0c\r"
 #: Frequent function words of the corpus's languages; fixed values.
 FUNCTION_WORDS = tuple("the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".split())
 RULES = ("symbols", "letters", "plain_words", "capitals", "word_length", "repeated_words", "repeated_lines", "function_words")
-#: A word of letters with a mark at its end at most.
-PLAIN = r"^\p{L}++[.,;:!?]?$"
 #: A measure at most the first number votes good, one over the second votes bad, between them the rule abstains.
 LIMITS = {"symbols": (0.02, 0.10), "capitals": (0.20, 0.50), "repeated_words": (0.20, 0.50), "repeated_lines": (0.20, 0.60)}
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """Columns over one text; null has no words. ``words`` comes first, the others may name earlier ones."""
-    tri = "transform(sequence(0, size(words) - 3), i -> concat(words[i], ' ', words[i + 1], ' ', words[i + 2]))"
-    return {
-        "words": F.filter(F.split(text, BLANK), lambda w: w != ""),
-        "lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}]+", "")),
-        "n_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")),
-        "tri": F.expr(f"if(size(words) < 3, cast(array() as array<string>), {tri})"),
-    }
+def without(text: Column, what: str) -> Column:
+    return F.regexp_replace(text, what, "")
 
 
-#: Words in three-word windows that occur twice or more. Windows are sorted with their places only where some repeat;
-#: neighbours in that order that are equal mark both places, and sorted places cover three words each, overlaps once.
+#: Words in three-word windows that occur twice or more, from hashes of all windows. Where no hash repeats, nothing does.
+#: Else windows are sorted by hash with their places; only those whose hash repeats are compared as texts, again by
+#: sorting. Places that are left cover three words each, overlaps once.
 REPEATS = """
-if(size(array_distinct(tri)) = size(tri), 0L,
+if(size(array_distinct(hashes)) = size(hashes), 0L,
+  aggregate(array(sort_array(transform(hashes, (h, i) -> named_struct('x', h, 'i', i)))), 0L, (z, s) ->
+  aggregate(array(sort_array(transform({again}, e -> named_struct('x', concat(words[e.i], ' ', words[e.i + 1], ' ', words[e.i + 2]), 'i', e.i)))), 0L, (y, s) ->
   aggregate(
-    array(array_sort(transform(tri, (x, i) -> named_struct('x', x, 'i', i)))),
-    0L,
-    (z, s) -> aggregate(
-      array(sort_array(transform(
-        filter(transform(s, (e, k) -> named_struct('i', e.i, 'again', (k > 0 AND s[k - 1].x = e.x) OR (k < size(s) - 1 AND s[k + 1].x = e.x))), e -> e.again),
-        e -> e.i))),
-      0L,
-      (y, places) -> aggregate(
-        places, named_struct('n', 0L, 'end', -1), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.end), 'end', p + 3), a -> a.n))))
-"""
+    sort_array(transform({again}, e -> e.i)), named_struct('n', 0L, 'end', -1),
+    (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.end), 'end', p + 3), a -> a.n))))
+""".format(again="filter(s, (e, k) -> (k > 0 AND s[greatest(k - 1, 0)].x = e.x) OR (k < size(s) - 1 AND s[least(k + 1, size(s) - 1)].x = e.x))")
+HASHES = "transform(if(size(words) < 3, cast(array() as array<string>), slice(words, 1, size(words) - 2)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))"
 
 
 def measured(docs: DataFrame, text_col: str, carry: list[str]) -> DataFrame:
-    """``carry`` of every row, with the measures of its text in the struct ``m`` and the rules' votes."""
+    """``carry`` of every row, with the measures of its text in the struct ``m``."""
+    t = F.col("text")
     held = docs.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("row"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
-    held = held.select("row", *[c.alias(k) for k, c in measures(F.col("text")).items() if k != "tri"])
-    held = held.withColumn("tri", measures(F.col("words"))["tri"])
+    inner = F.btrim(t, F.lit(BLANKS))
+    words = F.when(inner == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(inner, BLANK))
+    # what is left of a text without its plain words are its other words
+    odd = F.btrim(F.regexp_replace(t, rf"(?<![^{SPACE}])\p{{L}}++[.,;:!?]?(?![^{SPACE}])", ""), F.lit(BLANKS))
+    n_odd = F.when(odd == "", 0).otherwise(F.size(F.split(odd, BLANK)))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    held = held.select("row", words.alias("words"), n_odd.alias("n_odd"), lines.alias("lines"))
+    held = held.select("*", F.array_join("words", "").alias("joined"), F.expr(HASHES).alias("hashes"))
+    held = held.withColumn("letters", without(F.col("joined"), r"[^\p{L}]+"))
     n = F.size("words")
-    frequent = F.size(F.filter("words", lambda w: w.isin(*FUNCTION_WORDS)))
-    plain = F.size(F.filter("words", lambda w: w.rlike(PLAIN)))
     m = F.struct(
         n.cast("long").alias("n_words"),
-        F.col("word_chars"),
-        F.col("n_symbols"),
+        F.length("joined").cast("long").alias("word_chars"),
+        (F.length("joined") - F.length(without(F.col("joined"), "[#*$%&|<>]+"))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(REPEATS).alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
-        F.col("n_letters"),
-        F.col("n_capitals"),
-        frequent.alias("n_frequent"),
-        plain.alias("n_plain"),
+        F.length("letters").alias("n_letters"),
+        (F.length("letters") - F.length(without(F.col("letters"), r"\p{Lu}+"))).alias("n_capitals"),
+        F.size(F.filter("words", lambda w: w.isin(*FUNCTION_WORDS))).alias("n_frequent"),
+        (n - F.col("n_odd")).alias("n_plain"),
     )
     return held.select("row", m.alias("m"))
 
