@@ -69,7 +69,8 @@ def model_output(k: Column, stage: int) -> Column:
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per order: id, instruction, function, reference, outputs and the key k."""
     k = F.col("o_orderkey")
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k)
+    # a key makes a sample that costs far more than its eight bytes: keys are spread before texts are made from them
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k).repartition(spark.sparkContext.defaultParallelism)
     outputs = F.create_map(*[x for source, stage in PASSES for x in (F.lit(source), F.array(model_output(k, stage)))])
     return rows.select(k.cast("string").alias("id"), F.lit(POOL_INSTRUCTION).alias("instruction"), function_text(k).alias("function"), pick(REFERENCES, k % 8).alias("reference"), outputs.alias("outputs"), k.alias("k"))
 
