@@ -28,7 +28,7 @@ def stages(spark, tmp_path_factory):
     clean = docs.where("n_chars between 600 and 3000").orderBy("doc_id").limit(3).collect()
     rows = [tuple(r) for r in docs.collect()]
     rows += [(9000 + k, r.text, r.lang, r.source, r.n_chars) for k, r in enumerate(clean)]
-    rows += [(9100, clean[0].text.upper().lower() + "\n", "en", "x", 1), (9101, " ".join([passage] * 4), "en", "x", 1), (9102, clean[1].text + " Mail me at some.one@mail.example.org now.", "en", "x", 1), (None, None, None, None, None), (9103, "", "en", "x", 0)]
+    rows += [(9100, clean[0].text.replace(" ", "  ") + "\n", "en", "x", 1), (9101, " ".join([passage] * 4), "en", "x", 1), (9102, clean[1].text + " Mail me at some.one@mail.example.org now.", "en", "x", 1), (None, None, None, None, None), (9103, "", "en", "x", 0)]
     spark.createDataFrame(rows, docs.schema).write.parquet(f"{folder}/documents.parquet")
     spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
     now, out = spark.read.parquet(f"{folder}/documents.parquet"), []
