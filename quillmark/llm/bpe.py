@@ -14,6 +14,7 @@ import json
 import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,6 @@ class ByteBPE:
     """Encoder and decoder; ``leaf`` is the most characters (in pieces: bytes) that are encoded at once."""
 
     def __init__(self, data: bytes, leaf: int = 16384, threads: int = 2):
-        import tiktoken
-        from tokenizers import Tokenizer
-
         spec = json.loads(data)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -49,22 +47,33 @@ class ByteBPE:
             raise ValueError("only byte-level BPE files without a normalizer are supported")
         if any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(merges)):
             raise ValueError("the ids of merged tokens must follow the order of merges")
-        alphabet = byte_of()
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if i < 256 + len(merges)}
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens must be matched as they are")
+        self.data, self.leaf, self.threads, self.alphabet = data, leaf, threads, byte_of()
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.library = Tokenizer.from_buffer(data)
-        self.leaf, self.threads, self.alphabet = leaf, threads, alphabet
-        size = 1 + max([*ranks.values(), *self.special.values()])
-        self.tokens = [b""] * size
-        for b, i in ranks.items():
-            self.tokens[i] = b
+        self.merged = 256 + len(merges)
+        self.tokens = [b""] * (1 + max([*model["vocab"].values(), *self.special.values()]))
+        for token, i in model["vocab"].items():
+            if i < self.merged:
+                self.tokens[i] = bytes(self.alphabet[c] for c in token)
         for s, i in self.special.items():
             self.tokens[i] = s.encode()
 
+    @cached_property
+    def engine(self):
+        """Encodes by ranks; made only where something is encoded."""
+        import tiktoken
+
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.tokens[: self.merged])}, special_tokens={})
+
+    @cached_property
+    def library(self):
+        """The library's own tokenizer; made only where long text has no certain boundary."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_buffer(self.data)
+
     def encode(self, text: str) -> np.ndarray:
         if self.cut is None or not any(s in text for s in self.special):
             return self.plain(text)
@@ -167,7 +176,13 @@ def int_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = 16384, threads: int = 2, batch_chars: int = 1 << 24) -> DataFrame:
+def slices(batch: pa.Array, most: int = 4 << 20, rows: int = 500) -> Iterator[pa.Array]:
+    """Parts of a batch of ``rows`` rows, and of ``most`` bytes where rows are large, so that outputs stay small."""
+    step = max(1, min(rows, most * len(batch) // max(1, batch.nbytes)))
+    return (batch.slice(k, step) for k in range(0, len(batch), step))
+
+
+def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = 16384, threads: int = 2) -> DataFrame:
     """Every row of ``docs`` with ids (array<int>) and n_tokens.
 
     A null or empty text has no ids. Whole texts are encoded, of any length. A special token's string in a text is
@@ -179,7 +194,8 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(shipped, leaf, threads)
         for batch in batches:
-            yield int_lists([bpe.encode(t) if (t := x.as_py()) else np.zeros(0, np.uint32) for x in batch])
+            for part in slices(batch):
+                yield int_lists([bpe.encode(t) if (t := x.as_py()) else np.zeros(0, np.uint32) for x in part])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     ids = F.arrow_udf(run, "array<int>")(F.col(quoted(text_col)).cast("string"))
@@ -197,7 +213,8 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(shipped, 16384, 2)
         for batch in batches:
-            yield pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in batch], pa.string())
+            for part in slices(batch):
+                yield pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in part], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return attach(encoded, {"decoded": F.arrow_udf(run, "string")(F.col(quoted(ids_col)))})
