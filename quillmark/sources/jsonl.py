@@ -99,11 +99,8 @@ def pair_samples(lines: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Records under a schema of one's own; blank and malformed lines are skipped."""
-    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    held = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(held).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    # Spark wants a column besides the corrupt one to be read with it
-    return rows.where(F.col("_bad").isNull()).drop("_bad")
+    lines = spark.read.text(path).where(F.json_object_keys(strip(F.col("value"))).isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def done_ids(spark: SparkSession, path: str) -> DataFrame:
