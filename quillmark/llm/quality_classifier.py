@@ -26,52 +26,49 @@ from .weak_supervision import fit
 ABUSE = frozenset(b"trash pathetic idiot idiots disgusting worthless stupid clown loser losers scum moron morons vermin filth".split())
 ABUSE_STEMS = tuple("r\u00e9eux achlich bomente".encode().split())
 FUNCTION_WORDS = frozenset(
-    "the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".split()
+    "the of and to in is that it for as with was on are be this le la les de des et un une que en qui dans du est pour par der die das und ist nicht ein eine den zu mit von el los las y que del se por con una no".encode().split()
 )
-SYMBOLS = "#*$%&|<>!"
+SYMBOLS = b"#*$%&|<>!"
 LABELLERS = ("symbols", "letters", "plain_words", "capitals", "word_length", "dominance", "function_words", "punctuation", "repetition", "stutter")
+LETTERS = bytes([*range(65, 91), *range(97, 123)])
+#: First bytes of characters beyond ASCII, which count as letters, and the bytes that follow these.
+FIRST, FURTHER = bytes(range(0xC0, 0x100)), bytes(range(0x80, 0xC0))
+BLANKS = b" \t\n\x0b\x0c\r"
 #: A word of letters with a mark at its end at most.
-PLAIN = re.compile(r"[^\W\d_]+[.,;:!?]?")
+PLAIN = re.compile(rb"(?<!\S)[A-Za-z\x80-\xff]+[.,;:!?]?(?!\S)")
+STOP = re.compile(rb"[.?,](?!\S)")
+INSULT = re.compile(rb"(?<![a-z\x80-\xff])(?:(?:" + b"|".join(sorted(ABUSE)) + rb")(?![a-z\x80-\xff])|(?:" + b"|".join(ABUSE_STEMS) + rb"))")
 
 
-def label(text: str | None) -> list[int]:
-    """Votes of LABELLERS: 1 good, -1 bad, 0 abstains; all abstain where a text has no words.
+def count(data: bytes, which: bytes) -> int:
+    """How many bytes of ``data`` are among ``which``."""
+    return len(data) - len(data.translate(None, which))
 
-    Each distinct word is looked at once and counts as often as it occurs.
-    """
-    words = (text or "").split()
-    seen, n = Counter(words), len(words)
+
+def label(text: str | None) -> list[int]:
+    """Votes of LABELLERS: 1 good, -1 bad, 0 abstains; all abstain where a text has no words."""
+    data = (text or "").encode()
+    low = data.lower()
+    words = low.split()
+    n = len(words)
     if not n:
         return [0] * len(LABELLERS)
-    size = symbols = letters = capitals = plain = known = stops = 0
-    folded: Counter[str] = Counter()
-    for w, k in seen.items():
-        size += k * len(w)
-        stops += k * w.endswith((".", "?", ","))
-        bare = w.rstrip(".,;:!?")
-        if PLAIN.fullmatch(w):
-            plain += k
-            letters += k * len(bare)
-        else:
-            letters += k * sum(map(str.isalpha, w))
-            symbols += k * sum(map(w.count, SYMBOLS))
-        capitals += k * sum(map(str.isupper, bare)) if not bare.islower() else 0
-        low = bare.lower()
-        known += k * (low in FUNCTION_WORDS)
-        folded[low] += k
+    size = len(data.translate(None, FURTHER + BLANKS))
+    letters = count(data, LETTERS + FIRST)
     most = lambda x, good, bad: 1 if x <= good else -1 if x > bad else 0
     least = lambda x, good, bad: 1 if x >= good else -1 if x < bad else 0
+    stops = len(STOP.findall(data)) / n
     return [
-        most(symbols / n, 0.03, 0.15),
+        most(count(data, SYMBOLS) / n, 0.03, 0.15),
         least(letters / size, 0.90, 0.80),
-        least(plain / n, 0.85, 0.60),
-        most(capitals / max(1, letters), 0.2, 0.5),
+        least(len(PLAIN.findall(data)) / n, 0.85, 0.60),
+        most(count(data, LETTERS[:26]) / max(1, letters), 0.2, 0.5),
         1 if 3 <= size / n <= 10 else -1 if size / n < 2 or size / n > 14 else 0,
-        0 if n < 10 else most(max(folded.values()) / n, 0.15, 0.3),
-        least(known / n, 0.10, 0.02),
-        1 if 0.03 <= stops / n <= 0.4 else -1 if stops / n > 0.7 else 0,
+        0 if n < 10 else most(max(Counter(words).values()) / n, 0.15, 0.3),
+        least(sum(map(FUNCTION_WORDS.__contains__, words)) / n, 0.10, 0.02),
+        1 if 0.03 <= stops <= 0.4 else -1 if stops > 0.7 else 0,
         least(fresh_share(words), 0.8, 0.5),
-        0 if n < 10 else most(sum(map(str.__eq__, words, words[1:])) / n, 0.02, 0.15),
+        0 if n < 10 else most(sum(map(bytes.__eq__, words, words[1:])) / n, 0.02, 0.15),
     ]
 
 
@@ -80,37 +77,26 @@ def fresh_share(words: list) -> float:
     return len(set(zip(words, words[1:], words[2:]))) / (len(words) - 2) if len(words) > 2 else 1.0
 
 
-def buckets(text: str | None, dims: int) -> np.ndarray:
-    """Hashed features of a text: its words as they are and their shapes, once per occurrence."""
-    words = [] if text is None else text.encode().split()
-    seen: dict[bytes, int] = {}
-    out = np.empty(2 * len(words), np.int64)
-    for k, w in enumerate(words):
-        got = seen.get(w)
-        if got is None:
-            got = seen[w] = (zlib.crc32(w) % dims, zlib.crc32(shape(w)) % dims)
-        out[2 * k], out[2 * k + 1] = got
-    return out
-
-
-def shape(word: bytes) -> bytes:
-    """Case, length and closing character class of a word."""
-    body = word.strip(b".,;:!?")
-    case = b"U" if body.isupper() else b"T" if body[:1].isupper() else b"l" if body.islower() else b"o"
-    last = word[-1:]
-    end = last if last in b".,;:!?#*$%&|<>" else b"w"
-    return b"\x00" + case + bytes([min(len(word), 20)]) + end
+#: The class of each byte of a word's shape: capitals, small letters, digits, others beyond ASCII; marks stay.
+SHAPE = bytes(85 if 65 <= b <= 90 else 108 if 97 <= b <= 122 else 48 if 48 <= b <= 57 else 110 if b >= 128 else b for b in range(256))
 
 
 def features(text: str | None, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their values: at most ``dims`` of each, however long the text.
+    """Hashed features of a text: buckets and values, ``dims`` and one of each at most, however long
+    the text.
 
-    Words and shapes have their share times ten; one more bucket tells, in tenths, how much the text repeats itself.
+    Words and their shapes (classes of the first twelve bytes) have their share times ten; one more bucket tells, in
+    tenths, how much the text repeats itself. Each distinct word is hashed once.
     """
-    i, c = np.unique(buckets(text, dims), return_counts=True)
-    x = c / max(1, c.sum()) * 10
-    own = zlib.crc32(b"\x01%d" % int(10 * fresh_share((text or "").split()))) % dims
-    return np.append(i, own), np.append(x, 2.0).astype(np.float32)
+    words = (text or "").encode().split()
+    seen = Counter(words)
+    own = zlib.crc32(b"\x01%d" % int(10 * fresh_share(words))) % dims
+    if not seen:
+        return np.array([own]), np.array([2.0], np.float32)
+    hashes = np.fromiter((h for w in seen for h in (zlib.crc32(w), zlib.crc32(w.translate(SHAPE)[:12], 1))), np.int64, 2 * len(seen)) % dims
+    x = np.bincount(hashes, np.repeat(np.fromiter(seen.values(), np.float64, len(seen)), 2), dims)
+    i = np.flatnonzero(x)
+    return np.append(i, own), np.append(x[i] * (5 / len(words)), 2.0).astype(np.float32)
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray]], target: list[float], dims: int, epochs: int, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -182,7 +168,4 @@ def classify_quality(docs: DataFrame, text_col: str = "text", id_col: str = "doc
 
 def abuse(text: str | None) -> int:
     """Words of a text that are abuse, or begin like it."""
-    if text is None:
-        return 0
-    words = [w.strip(b".,;:!?#*$%&|") for w in text.lower().encode().split()]
-    return sum(w in ABUSE or w.startswith(ABUSE_STEMS) for w in words)
+    return 0 if text is None else len(INSULT.findall(text.lower().encode()))
