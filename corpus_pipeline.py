@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontaminate, pii, quality_rules, queries, simhash
+from quillmark.llm import bpe, decontaminate, pii, quality_rules, queries, similar
 from quillmark.llm.common import new_path
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,8 +17,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id."""
-    groups = simhash.near_duplicates(docs, carry=["doc_id"])
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
+    groups = similar.similar_groups(docs, carry=["doc_id"])
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return docs.join(first, "doc_id", "left_semi").select(*DOCUMENT)
 
