@@ -17,10 +17,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id."""
-    groups = similar.similar_groups(docs, carry=["doc_id"])
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select(*DOCUMENT)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one row with the smallest id; rows
+    without an id come last, and rows with equal ids are told apart by a hash of all columns."""
+    return similar.similar_groups(docs.select(*DOCUMENT)).where("leads").select(*DOCUMENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

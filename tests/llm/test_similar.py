@@ -70,3 +70,10 @@ def test_stage_removes_edited_copies(spark):
     other = [w if k % 9 else "changed" for k, w in enumerate(words)]
     got = kept(spark, [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(other))])
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (1, b), (1, b), (1, b + " more"), (2, c), (2, a.upper()), (None, a), (7, "x y z"), (None, "own text"), (None, "own  text")]
+    got = Counter((r.doc_id, r.text.lower().split()[0]) for r in kept(spark, rows))
+    assert got == {(1, "b0"): 1, (2, "c0"): 1, (2, "a0"): 1, (7, "x"): 1, (None, "own"): 1}
