@@ -44,7 +44,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[ -]?[0-9])++", 0.3, 0.5),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", 0.6),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 0.2, 0.6),
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])", 0.3),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+", 0.3),
 )
 BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"

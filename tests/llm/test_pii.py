@@ -74,3 +74,9 @@ def test_native_plan_clashing_names_and_empty_table(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert find_pii(spark.createDataFrame([], "doc_id bigint, text string")).select(F.col("pii")).count() == 0
+
+
+def test_secrets_have_no_upper_length(spark):
+    rows = [(n, "token " + "a1B2c3D4" * n + " end") for n in (3, 25, 26, 5000)]
+    for r in redact(find_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect():
+        assert r.text == "token [SECRET] end"
