@@ -42,12 +42,16 @@ def fingerprint_of(text: str | None, shingle: int) -> int:
         return xxh64_intdigest(joined, SEED)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
-    ones, total, ends = np.zeros(64, np.int64), len(words) - shingle + 1, ends[shingle - 1 :].tolist()
-    for at in range(0, total, 65536):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65536], ends[at : at + 65536])], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
+    hashes = (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist()))
+    return print_of(np.fromiter(hashes, np.uint64, len(words) - shingle + 1))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the unsigned 64-bit hashes; 0 without any."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: Column, shingle: int) -> Column:
@@ -203,7 +207,7 @@ def components(links: DataFrame, label: str = "components", most_rounds: int = 6
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, capacity: int = 4096, carry: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, capacity: int = 4096, similarity: float | None = None, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns unless given) of every row, with fingerprint (signed 64-bit) and component_id: the
     smallest id of a row that can be reached over links between fingerprints, the row's own included.
 
@@ -212,7 +216,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component only where no member has an id. Repeated rows each give a row. Columns named like a result give way. An
     empty table gives no rows. Texts are read once and not shuffled; copies meet as one fingerprint, summed up before
     the shuffle.
+
+    With ``similarity``, links are verified instead: the result is that of ``similar.similar_groups``.
     """
+    if similarity is not None:
+        from .similar import similar_groups
+
+        return similar_groups(docs, id_col, text_col, shingle, similarity, radius, capacity, carry)
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("fingerprint", "component_id")]
     rows = docs.select(F.struct(*[F.col(quoted(c)) for c in carry]).alias("row"), F.col(quoted(id_col)).alias("id"), fingerprint(F.col(quoted(text_col)), shingle).alias("fp"))
     rows = stash(rows, "simhash-prints")

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from quillmark.llm import similar
 
@@ -46,7 +47,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("sample, centres", [(1, 1), (16, 16)])
+@pytest.mark.parametrize("sample, centres", [(1, 1), (16, 4)])
 def test_against_brute_force(spark, monkeypatch, sample, centres):
     monkeypatch.setattr(similar, "SAMPLE", sample)
     monkeypatch.setattr(similar, "CENTRES", centres)
@@ -55,6 +56,16 @@ def test_against_brute_force(spark, monkeypatch, sample, centres):
     assert Counter((r.doc_id, r.component_id) for r in similar.similar_groups(frame).collect()) == brute(rows)
 
 
+def test_sketches_never_hide_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, rng.choice([1, 5, 64, 65, 700])))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(-(1 << 62), 1 << 62, rng.choice([0, 3, 300]))]))
+        far = len(np.setxor1d(a, b))
+        assert similar.least_difference(similar.sketch_of(a), similar.sketch_of(b)) <= far
+        assert far or similar.sketch_of(a) == similar.sketch_of(b)
+
+
 def test_empty_table(spark):
     assert similar.similar_groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
