@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm import bpe, decontaminate, pii, quality_rules, queries, similar
+from quillmark.llm import bpe, decontaminate, pii, quality_rules, queries, simhash
 from quillmark.llm.common import new_path
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -19,13 +19,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more), the one row with the smallest id; rows
     without an id come last, and rows with equal ids are told apart by a hash of all columns."""
-    return similar.similar_groups(docs.select(*DOCUMENT)).where("leads").select(*DOCUMENT)
+    return simhash.near_duplicates(docs.select(*DOCUMENT), shingle=5, similarity=0.8).where("leads").select(*DOCUMENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in windows of benchmark texts."""
+    """Documents without any window of a benchmark text: in a long document a whole passage may be a small share."""
     found = decontaminate.decontaminate(docs, queries.table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*DOCUMENT)
+    return found.where(F.col("n_hit") == 0).select(*DOCUMENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, with the digest of the text that they decode to."""
-    path = queries.tokenizer_path()
-    coded = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    coded = bpe.round_trip(docs, queries.tokenizer_path())
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
