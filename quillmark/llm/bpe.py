@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, quoted, received, ship, worker_cache
+from .common import attach, free_name, quoted, received, ship, worker_cache
 
 #: The pre-tokenizer's pattern, a fixed value of the public byte-level format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -218,3 +218,23 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return attach(encoded, {"decoded": F.arrow_udf(run, "string")(F.col(quoted(ids_col)))})
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = 16384, threads: int = 2) -> DataFrame:
+    """Every row of ``docs`` with ids, n_tokens and decoded, the text that the ids decode to, as ``decode_ids`` after
+    ``encode_texts`` gives them; but one worker for a task does both, and ids do not go there and back."""
+    shipped = ship(docs.sparkSession, tokenizer_file(tokenizer_path))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bpe = opened(shipped, leaf, threads)
+        for batch in batches:
+            for part in slices(batch):
+                ids = [bpe.encode(t) if (t := x.as_py()) else np.zeros(0, np.uint32) for x in part]
+                decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
+                yield pa.StructArray.from_arrays([int_lists(ids), decoded], ["ids", "decoded"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    held = free_name(docs, "_coded")
+    coded = docs.withColumn(held, F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")(F.col(quoted(text_col)).cast("string")))
+    c = F.col(held)
+    return attach(coded, {"ids": c["ids"], "n_tokens": F.size(c["ids"]).cast("long"), "decoded": c["decoded"]}).drop(held)

@@ -56,8 +56,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()
-    coded = bpe.decode_ids(bpe.encode_texts(docs, path), path)
+    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from quillmark.llm.bpe import ByteBPE, decode_ids, encode_texts
+from quillmark.llm.bpe import ByteBPE, decode_ids, encode_texts, round_trip
 from quillmark.llm.queries import tokenizer_path
 
 
@@ -42,4 +42,6 @@ def test_frame_round_trip(spark):
     coded = decode_ids(encode_texts(frame, tokenizer_path(), leaf=64), tokenizer_path())
     got = sorted((r.doc_id, r.decoded, r.n_tokens == len(r.ids)) for r in coded.collect())
     assert got == sorted((i, t or "", True) for i, t in rows)
+    both = round_trip(frame, tokenizer_path(), leaf=64)
+    assert both.columns == ["doc_id", "text", "ids", "n_tokens", "decoded"] and sorted(map(str, both.collect())) == sorted(map(str, coded.collect()))
     assert encode_texts(spark.createDataFrame([], "doc_id bigint, text string"), tokenizer_path()).count() == 0
