@@ -13,6 +13,7 @@ Of records with equal payloads the one with the smallest id is the response, the
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import json
 import re
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import new_path, quoted, stash
 
@@ -118,36 +120,53 @@ class Roll:
             self.out, self.number = None, self.number + 1
 
 
-def cut_points(pages: DataFrame, id_col: str, size_col: str, shard_bytes: int, bins: int = 4096) -> list[int]:
+def cut_points(pages: DataFrame, id_col: str, size_col: str, shard_bytes: int, bins: int = 1 << 16) -> list[int]:
     """Smallest ids of all shards but the first, from exact sums over all pages.
 
-    Ids are binned between their bounds; a bin that alone is over the size is binned again between its own bounds.
-    The driver sees at most ``bins`` sums at a time.
+    Ids are binned between their bounds; all bins that alone are over the size are binned again, in one job a level. A
+    level has at most ``bins`` sums, or two for each bin that is over the size, of which there are fewer than shards.
     """
-    cuts: list[int] = []
-    held = 0
-
-    def walk(low: int, high: int) -> None:
-        nonlocal held
-        width = max(1, -(-(high - low + 1) // bins))
-        inside = pages.where(F.col(id_col).between(low, high))
-        rows = inside.groupBy(F.floor((F.col(id_col) - low) / width).cast("long").alias("bin")).agg(F.sum(size_col).alias("bytes")).orderBy("bin").collect()
-        for r in rows:
-            start, end = low + r.bin * width, min(high, low + (r.bin + 1) * width - 1)
-            if r.bytes > shard_bytes and end > start and width > 1:
-                walk(start, end)
-                continue
-            if held and held + r.bytes > shard_bytes:
-                cuts.append(start)
-                held = 0
-            held += r.bytes
-
     bounds = pages.agg(F.min(id_col).alias("low"), F.max(id_col).alias("high")).first()
-    if bounds.low is not None:
-        walk(bounds.low, bounds.high)
+    ranges, leaves = [] if bounds.low is None else [(bounds.low, bounds.high)], []
+    while ranges:
+        each = max(2, bins // len(ranges))
+        lows, highs = [a for a, _ in ranges], [b for _, b in ranges]
+        widths = [max(1, -(-(b - a + 1) // each)) for a, b in ranges]
+        sums = pages.select(bin_start(F.col(id_col), lows, highs, widths).alias("start"), size_col).where(F.col("start").isNotNull())
+        ranges = []
+        for r in sums.groupBy("start").agg(F.sum(size_col).alias("bytes")).orderBy("start").collect():
+            k = bisect.bisect_right(lows, r.start) - 1
+            end = min(highs[k], r.start + widths[k] - 1)
+            if r.bytes > shard_bytes and end > r.start:
+                ranges.append((r.start, end))
+            else:
+                leaves.append((r.start, r.bytes))
+    cuts, held = [], 0
+    for start, size in sorted(leaves):
+        if held and held + size > shard_bytes:
+            cuts.append(start)
+            held = 0
+        held += size
     return cuts
 
 
+def bin_start(page_id: Column, lows: list[int], highs: list[int], widths: list[int]) -> Column:
+    """The first id of an id's bin; null outside of the ranges."""
+    low, high, width = np.array(lows, np.int64), np.array(highs, np.int64), np.array(widths, np.uint64)
+
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids = batch.fill_null(0).to_numpy()
+            k = np.maximum(np.searchsorted(low, ids, side="right") - 1, 0)
+            outside = batch.is_null().to_numpy(zero_copy_only=False) | (ids < low[k]) | (ids > high[k])
+            # unsigned, since the distance of two ids may be over the signed numbers
+            past = (ids.view(np.uint64) - low[k].view(np.uint64)) // width[k] * width[k]
+            yield pa.array((low[k].view(np.uint64) + past).view(np.int64), mask=outside)
+
+    find.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, "bigint")(page_id)
+
+
 def shard_of(page_id: Column, cuts: list[int]) -> Column:
     """The number of cut points at or below an id; a null id goes to the last shard."""
     points = np.array(cuts, np.int64)
@@ -161,17 +180,20 @@ def shard_of(page_id: Column, cuts: list[int]) -> Column:
     return F.arrow_udf(find, "int")(page_id)
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 32 << 20, most_shards: int = 8192, roll_bytes: int = 1 << 30, level: int = 6, date: str = "2020-01-01T00:00:00Z") -> str:
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, shard_bytes: int = 32 << 20, most_shards: int = 8192, roll_bytes: int | None = None, level: int = 6, date: str = "2020-01-01T00:00:00Z") -> str:
     """Writes one record per row of ``pages`` into a new folder and returns the folder.
 
     A null payload is empty. Payloads of at least ``min_revisit_bytes`` that equal that of a row with a smaller id are
     revisits of the smallest; rows equal in id and payload count as copies of which the first is the response. Rows
     with a null id follow all others. Null URLs are written as ``urn:page:`` and the id. Other columns are not read.
     An empty table gives a manifest without files. ``shard_bytes`` are payload bytes, more where there would be over
-    ``most_shards`` shards; each shard is one task's sorted run, in one file or, from ``roll_bytes`` of compressed size
-    on, several. A record is never split.
+    ``most_shards`` shards; each shard is one task's sorted run. A file ends when its compressed size reaches
+    ``roll_bytes``, unless given a sixteenth of the payload bytes of a shard: 2 MiB at first, under a gigabyte for 100 TB
+    of pages, so a shard has a few files at every size. A record is never split. Ids must be integers.
     """
     spark = pages.sparkSession
+    if not isinstance(pages.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be an integer")
     folder = folder or new_path(spark, "warc")
     fs, path = filesystem(folder)
     fs.create_dir(f"{path}/_temporary", recursive=True)
@@ -181,7 +203,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     # copies are summed up by digest before the shuffle; only digests that occur twice are looked up again
     firsts = slim.where(F.col("bytes") >= min_revisit_bytes).groupBy("sha1", "bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     total = slim.agg(F.sum("bytes").alias("n")).first().n or 0
-    cuts = cut_points(slim, "id", "bytes", max(shard_bytes, -(-total // most_shards)))
+    shard_bytes = max(shard_bytes, -(-total // most_shards))
+    roll_bytes = roll_bytes or max(1, shard_bytes // 16)
+    cuts = cut_points(slim, "id", "bytes", shard_bytes)
     firsts = stash(firsts.select(F.col("sha1").alias("f_sha1"), "first", F.lit(True).alias("again")), "warc-firsts")
     keyed = rows.withColumn("sha1", F.sha1("payload"))
     joined = keyed.join(firsts, keyed.sha1 == firsts.f_sha1, "left").drop("f_sha1")

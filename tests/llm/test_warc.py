@@ -1,7 +1,10 @@
 import base64
+import bisect
 import hashlib
+import random
 
-from quillmark.llm.warc import filesystem, read_manifest, read_warc, write_warc
+import pytest
+from quillmark.llm.warc import cut_points, filesystem, read_manifest, read_warc, write_warc
 
 PAGES = [(1, "http://a/", "same"), (2, None, "same"), (3, "http://c/ x\r\ny", None), (4, "http://d", ""), (5, "u", "é" * 5000), (5, "u", "é" * 5000), (None, "n", "same"), (9, "z", "other"), (0, "q", "last")]
 
@@ -57,3 +60,28 @@ def test_empty_and_extra_columns(spark):
     assert read_warc(spark, write_warc(empty)).count() == 0
     more = spark.createDataFrame([(1, "u", "h", 4, "s")], "page_id bigint, url string, html string, id int, sha1 string")
     assert got(spark, write_warc(more)) == want([(1, "u", "h")])
+
+
+def test_cuts_of_skewed_ids_are_exact_and_few_jobs(spark):
+    rng = random.Random(1)
+    ids = sorted({rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(200)} | {10**12 + k for k in range(400)} | {-(1 << 63), (1 << 63) - 1})
+    rows = [(i, None, "x" * rng.randint(0, 40)) for i in ids]
+    frame = spark.createDataFrame([(i, len(t)) for i, _, t in rows], "id bigint, bytes bigint")
+    cuts = cut_points(frame, "id", "bytes", 300, bins=8)
+    shards = {}
+    for i, _, t in rows:
+        shards[bisect.bisect_right(cuts, i)] = shards.get(bisect.bisect_right(cuts, i), 0) + len(t)
+    assert len(cuts) > 20 and cuts == sorted(set(cuts)) and max(shards.values()) <= 300
+    assert got(spark, write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), shard_bytes=300)) == want(rows)
+
+
+def test_files_roll_without_options(spark):
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=200_000))) for i in range(40)]
+    files = read_manifest(write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string")))
+    assert [f["file"] for f in files] == ["part-00000-00000.warc.gz", "part-00000-00001.warc.gz", "part-00000-00002.warc.gz"]
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError):
+        write_warc(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
