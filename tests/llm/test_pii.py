@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 from quillmark.llm.pii import find_pii, pii_report, redact
@@ -53,6 +54,33 @@ def test_own_kinds_need_checksum_or_context(spark):
     assert got == {1: ["iban"], 2: [], 3: ["secret"], 4: []}
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    rows = [(1, "PAY TO IBAN GB82 WEST 1234 5698 7654 32 AND CALL"), (2, "GB82WEST12345698765432 is the account"), (3, "GB82WEST12345698765432X"), (4, "XX82 WEST 1234 5698 7654 32")]
+    got = {r.doc_id: [t[s.start : s.end] for s in r.pii if s.kind == "iban"] for (_, t), r in zip(rows, find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).orderBy("doc_id").collect())}
+    assert got == {1: ["GB82 WEST 1234 5698 7654 32"], 2: ["GB82WEST12345698765432"], 3: [], 4: []}
+
+
+def test_context_on_both_sides(spark):
+    secret = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = [(1, f"{secret} is the token"), (2, f"{secret} is {'far ' * 20} the token"), (3, f"token {'far ' * 20} {secret}")]
+    got = {r.doc_id: [s.kind for s in r.pii] for r in find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: ["secret"], 2: [], 3: []}
+
+
+def test_very_many_matches_in_one_text(spark):
+    words = [f"u{k}@h{k}.org" if k % 2 else f"1.2.3.{k % 256}" for k in range(100_000)]
+    text = " ".join(words)
+    began = time.time()
+    row = pii_report(find_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))).first()
+    assert time.time() - began < 30
+    shown = ",".join(f"{k}:{a}:{b}" for k, a, b in base(text))
+    assert row.n_email == 50_000 and row.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+    began = time.time()
+    clean = redact(find_pii(spark.createDataFrame([(1, "é" + text)], "doc_id bigint, text string"))).first().text
+    assert time.time() - began < 60
+    assert clean == "é" + " ".join("[EMAIL]" if k % 2 else "[IP]" for k in range(100_000))
+
+
 def test_redaction(spark):
     rows = [(1, "é mail a@b.co or +1 (22) 333-4444!"), (2, "clean"), (3, None), (4, ""), (5, "a@b.co")]
     got = {r.doc_id: r.text for r in redact(find_pii(spark.createDataFrame(rows, "doc_id bigint, text string"))).collect()}
