@@ -109,14 +109,11 @@ def build_pairs(scored: DataFrame, p: PairRules = PairRules()) -> DataFrame:
 def pair_summary(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row: counts, margins (0 without pairs), five distributions as maps, and violations of the two invariants.
 
-    Pairs are gone through once: they are summed up by their five kinds, of which there are few combinations, and all
-    else comes from that table.
+    Pairs are gone through once: they are summed up by their five kinds, of which there are few combinations, and those
+    sums meet in one row, which all else comes from.
     """
     kinds = {"pair_type": "pair_type", "chosen_source": "chosen_source", "rejected_source": "rejected_source", "chosen_role": "chosen_role_hint", "rejected_role": "rejected_role_hint"}
     small = pairs.groupBy(*kinds.values()).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.endswith("id", F.lit("_pair_0"))).alias("k"), F.sum("margin").alias("s"), F.max("margin").alias("high"), F.min("margin").alias("low"))
-    names = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.col(c), F.lit("")).alias("value")) for k, c in kinds.items()])
-    counted = small.select("n", F.explode(names).alias("e")).groupBy("e.kind", "e.value").agg(F.sum("n").alias("n"))
-    maps = counted.agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "n"))))).alias(f"{k}_distribution") for k in kinds])
     bad_chosen = S.is_hard_negative(F.col("chosen_source"), F.col("chosen_role_hint"))
     bad_rejected = S.is_reference(F.col("rejected_source")) | S.is_anchor(F.col("rejected_role_hint"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -128,8 +125,14 @@ def pair_summary(records: DataFrame, pairs: DataFrame) -> DataFrame:
         total(F.when(bad_chosen, F.col("n"))).alias("invalid_chosen_hard_negative"),
         total(F.when(bad_rejected, F.col("n"))).alias("invalid_rejected_reference"),
         total(F.col("k")).alias("k"),
+        F.collect_list(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(name) for name, c in kinds.items()], F.col("n"))).alias("all"),
     )
+
+    def distribution(kind: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("all", lambda x: x[kind])))
+        return F.map_from_arrays(names, F.transform(names, lambda v: F.aggregate(F.filter("all", lambda x: x[kind] == v), F.lit(0).cast("long"), lambda s, x: s + x["n"])))
+
     whole = records.agg(F.count(F.lit(1)).alias("num_records"))
-    # three tables of one row each
-    row = whole.join(totals).join(maps)
-    return row.withColumn("skipped_records_without_pairs", F.col("num_records") - F.col("k")).drop("k")
+    # two tables of one row each
+    row = whole.join(totals)
+    return row.withColumns({"skipped_records_without_pairs": F.col("num_records") - F.col("k"), **{f"{k}_distribution": distribution(k) for k in kinds}}).drop("k", "all")

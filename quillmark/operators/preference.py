@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,19 +41,27 @@ def dpo_terms(beta: float, sft_weight: float = 0.0) -> dict[str, Column]:
 METRICS = ("loss", "dpo_loss", "sft_loss", "reward_acc", "reward_margin")
 
 
-def weighted_means(prefix: str, weight: str = "n") -> list[Column]:
-    """Means of batch metrics weighted by batch size; 0 without batches."""
-    return [F.coalesce(F.try_divide(F.sum(F.col(m) * F.col(weight)), F.sum(weight)), F.lit(0.0)).alias(f"{prefix}_{m}") for m in METRICS]
+def exact_sum(value: Column) -> Column:
+    """A sum to twelve decimals that does not depend on the order of addition; what is not finite makes it so."""
+    finite = ~F.isnan(value) & (F.abs(value) < 1e24)
+    return F.coalesce(F.sum(F.when(finite, value.cast("decimal(38,12)"))).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(F.when(~finite, value)), F.lit(0.0))
+
+
+def weighted_means(batches: DataFrame, prefix: str, weight: str = "n") -> list[Column]:
+    """Means of batch metrics weighted by batch size, from the batches' sums where they have them; 0 without batches."""
+    total = lambda m: F.col(f"{m}_sum") if f"{m}_sum" in batches.columns else F.col(m) * F.col(weight)
+    return [F.coalesce(F.try_divide(exact_sum(total(m).cast("double")), F.sum(weight)), F.lit(0.0)).alias(f"{prefix}_{m}") for m in METRICS]
 
 
 def batch_metrics(terms: DataFrame, *keys: str) -> DataFrame:
-    """Means of each batch, and its size n."""
-    return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in METRICS])
+    """Means of each batch, its size n, and the sums that means over several batches are made of."""
+    sums = [exact_sum(F.col(m)).alias(f"{m}_sum") for m in METRICS]
+    return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.avg(m).alias(m) for m in METRICS], *sums)
 
 
 def eval_metrics(batches: DataFrame) -> DataFrame:
     """One row of eval_ metrics, all 0 without batches."""
-    return batches.agg(*weighted_means("eval"))
+    return batches.agg(*weighted_means(batches, "eval"))
 
 
 def total_steps(batches: int, accumulation: int, epochs: float, warmup_ratio: float = 0.0) -> tuple[int, int, int]:
@@ -70,18 +79,20 @@ def learning_rate(step: Column, base: float, warmup: int, whole: int, kind: str
     return base * F.when(step < warmup, rise).otherwise(fall)
 
 
-def train_log(batches: DataFrame, logging_steps: int, per_epoch: int, accumulation: int) -> DataFrame:
+def train_log(batches: DataFrame, logging_steps: int, per_epoch: int, accumulation: int, rate: Callable[[Column], Column] | None = None) -> DataFrame:
     """Training metrics over windows of ``logging_steps`` optimizer steps, begun anew with each epoch.
 
-    ``batches`` has epoch and batch (both from 0), n and the batch metrics; ``per_epoch`` batches make up an epoch.
+    ``batches`` has epoch and batch (both from 0), n and the sums of ``batch_metrics``; ``per_epoch`` batches are an epoch.
     Micro-batches after an epoch's last whole accumulation make no step. A row is written at each step that is a
-    multiple of ``logging_steps``; what an epoch has gathered since its last row is dropped.
+    multiple of ``logging_steps``; what an epoch has gathered since its last row is dropped. With ``rate``, rows have the
+    learning_rate that it gives for their step.
     """
     steps = per_epoch // accumulation
     at = F.col("epoch") * steps + F.floor(F.col("batch") / accumulation) + 1
     step = (F.ceil(at / logging_steps) * logging_steps).cast("long")
     inside = batches.withColumn("step", step).where(F.col("step") <= (F.col("epoch") + 1) * steps)
-    return inside.groupBy("step", (F.col("epoch") + 1).alias("epoch")).agg(*weighted_means("train"))
+    rows = inside.groupBy("step", (F.col("epoch") + 1).alias("epoch")).agg(*weighted_means(inside, "train"))
+    return rows if rate is None else rows.withColumn("learning_rate", rate(F.col("step")))
 
 
 def best_checkpoints(evals: DataFrame, loss: str = "eval_loss") -> DataFrame:

@@ -10,8 +10,8 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import candidates as C
 from ..operators import encode, models, pairs, preference, resume, scored, text_metrics, vectors
-from ..sources import jsonl
-from . import corpus, sql
+from ..sources import jsonl, tables
+from . import corpus, sql, staging
 
 REGISTERED: dict[str, tuple] = {}
 
@@ -72,7 +72,7 @@ def comment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("comment")
     rows = comments(spark, sf_dir).withColumn("shown", T.display_clean(c))
     shown = F.col("shown")
-    return rows.select("id", S.probably_english(shown).alias("english"), S.has_artifact(c).alias("artifact"), S.has_return_artifact(shown).alias("return_artifact"), S.is_too_generic(shown).alias("generic"), S.is_valid_comment(c).alias("valid"), S.length_penalty(c).alias("length_penalty"), T.word_count(shown).alias("n_words"))
+    return rows.select("id", S.probably_english(shown).alias("english"), S.has_artifact(c).alias("artifact"), S.has_return_artifact(shown).alias("return_artifact"), S.is_too_generic(shown).alias("generic"), (~S.has_artifact(c) & S.is_valid_display(shown)).alias("valid"), S.display_penalty(shown).alias("length_penalty"), T.word_count(shown).alias("n_words"))
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------
@@ -117,6 +117,131 @@ def pool_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.pool_samples(lines)
 
 
+#: Lines of training samples, predictions, pairs and records, some broken or blank, by order key.
+RECORD_FORMS = (
+    '{"id": "s%s", "instruction": "do", "input": " f%s() {} ", "output": "Does %s."}',
+    '{"instruction": "do", "input": "f%s() {}", "output": "  "}',
+    '{"id": "p%s", "prompt": "q%s", "chosen": "Good %s.", "rejected": "Bad."}',
+    '',
+    '{"id": "r%s", "prompt": "q", "chosen": "Ok.", "rejected": "No %s.", "system_prompt": "be brief"}',
+    '{"id": "p%s", "prompt": " ", "chosen": "x", "rejected": "y"}',
+    '{"id": "broken%s", ',
+    '{"instruction": null, "input": "g%s() {}", "output": "é %s"}',
+    '[%s]',
+    '{"id": null, "prompt": "n%s", "chosen": "c", "rejected": null}',
+)
+RECORDS_SQL = "(SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, replace(CASE o_orderkey % 10 " + " ".join(f"WHEN {i} THEN {sql.q(x)}" for i, x in enumerate(RECORD_FORMS)) + " END, '%s', CAST(o_orderkey AS VARCHAR)) AS line FROM orders)"
+OBJECTS_SQL = f"(SELECT *, json_keys(j) AS keys FROM (SELECT line_no, CASE WHEN json_valid(line) THEN CAST(line AS JSON) END AS j FROM {RECORDS_SQL} WHERE line <> '') WHERE json_type(j) = 'OBJECT')"
+
+
+def text_sql(name: str) -> str:
+    return f"CASE WHEN list_contains(keys, '{name}') THEN coalesce(trim(json_extract_string(j, '$.{name}')), 'None') END"
+
+
+def has_sql(*names: str) -> str:
+    return "(" + " AND ".join(f"list_contains(keys, '{n}')" for n in names) + ")"
+
+
+def id_sql(prefix: str) -> str:
+    return f"CASE WHEN list_contains(keys, 'id') THEN coalesce(json_extract_string(j, '$.id'), 'None') ELSE '{prefix}' || line_no END"
+
+
+def record_file(spark: SparkSession, sf_dir: str) -> str:
+    """The lines in the order of their keys, written as text: files are named in that order, lines stand in it within."""
+    k = F.col("o_orderkey")
+    line = F.replace(F.get(F.array(*map(F.lit, RECORD_FORMS)), (k % len(RECORD_FORMS)).cast("int")), F.lit("%s"), k.cast("string"))
+    path = staging.new_path(spark, "records")
+    table(spark, sf_dir, "orders").select(k, line.alias("value")).repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select("value").write.text(path)
+    return path
+
+
+SAMPLES_SQL = f"SELECT {id_sql('sample_')} AS id, {text_sql('instruction')} AS instruction, {text_sql('input')} AS function, {text_sql('output')} AS {{0}}, line_no FROM {OBJECTS_SQL} WHERE {has_sql('instruction', 'input', 'output')}"
+
+
+@query(f"SELECT * FROM ({SAMPLES_SQL.replace('{0}', 'comment')}) WHERE instruction <> '' AND function <> '' AND comment <> ''")
+def sft_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.sft_samples(jsonl.read_lines(spark, record_file(spark, sf_dir)))
+
+
+@query(SAMPLES_SQL.replace('{0}', 'reference'))
+def prediction_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.prediction_samples(jsonl.read_lines(spark, record_file(spark, sf_dir)))
+
+
+@query(f"""SELECT * FROM (SELECT {", ".join(f"{text_sql(c)} AS {c}" for c in ("id", "prompt", "chosen", "rejected"))}, CASE WHEN {has_sql('system_prompt')} THEN {text_sql('system_prompt')} ELSE {sql.q(T.SYSTEM_PROMPT)} END AS system_prompt
+  FROM {OBJECTS_SQL} WHERE {has_sql('id', 'prompt', 'chosen', 'rejected')}) WHERE prompt <> '' AND chosen <> '' AND rejected <> ''""")
+def pair_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.pair_samples(jsonl.read_lines(spark, record_file(spark, sf_dir)))
+
+
+@query(f"SELECT json_extract_string(j, '$.id') AS id, json_extract_string(j, '$.prompt') AS prompt FROM {OBJECTS_SQL}")
+def lenient_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.read_records(spark, record_file(spark, sf_dir), "id string, prompt string")
+
+
+@query(f"SELECT DISTINCT id FROM (SELECT json_extract_string(j, '$.id') AS id FROM {OBJECTS_SQL}) WHERE id IS NOT NULL")
+def done_ids_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jsonl.done_ids(spark, record_file(spark, sf_dir))
+
+
+@query(f"SELECT id FROM (SELECT * FROM ({SAMPLES_SQL.replace('{0}', 'reference')}) WHERE id NOT IN (SELECT 's' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0) ORDER BY line_no LIMIT 100)")
+def capped_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = jsonl.prediction_samples(jsonl.read_lines(spark, record_file(spark, sf_dir)))
+    done = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("s"), F.col("o_orderkey").cast("string")).alias("id"))
+    return resume.remaining(samples, done, 100).select("id")
+
+
+def nation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("name"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, -n_nationkey / 4::DOUBLE AS ref_chosen_logp, CASE WHEN n_nationkey % 2 = 0 THEN -1::DOUBLE ELSE -2::DOUBLE END AS ref_rejected_logp FROM nation")
+def reference_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, appended to for even keys, read with the last row of each id, swapped with itself, and read again."""
+    path, schema = staging.new_path(spark, "cache"), "id string, ref_chosen_logp double, ref_rejected_logp double, at long"
+    rows = nation_rows(spark, sf_dir).select(F.col("k").cast("string").alias("id"), (-F.col("k") / 4).alias("ref_chosen_logp"), F.lit(-2.0).alias("ref_rejected_logp"), F.lit(0).alias("at"))
+    jsonl.write_records(rows, path)
+    jsonl.write_records(rows.where("cast(id as int) % 2 = 0").withColumns({"ref_rejected_logp": F.lit(-1.0), "at": F.lit(1)}), path, append=True)
+    last = resume.latest_of_each(jsonl.read_records(spark, path, schema), "at")
+    jsonl.swap_records(last, path)
+    return jsonl.read_records(spark, path, schema).select("id", "ref_chosen_logp", "ref_rejected_logp")
+
+
+@query("SELECT 'f' || n_nationkey || '() { \"q\", }' AS method, n_name || chr(10) || 'é' AS summary FROM nation")
+def plain_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.new_path(spark, "plain")
+    made = nation_rows(spark, sf_dir).select(F.concat(F.lit("f"), F.col("k").cast("string"), F.lit('() { "q", }')).alias("method"), F.concat("name", F.lit("\né")).alias("summary"))
+    tables.write_csv(made, path, False)
+    return tables.read_plain_csv(spark, path)
+
+
+@query("SELECT n_name || ', é' AS comment, 'n ' || n_nationkey AS comment1 FROM nation")
+def headed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging.new_path(spark, "headed")
+    made = nation_rows(spark, sf_dir).select(F.concat("name", F.lit(", é")).alias("comment"), F.concat(F.lit("n "), F.col("k").cast("string")).alias("comment1"), F.lit(0.5).alias("similarity"))
+    tables.write_csv(made, path, True, "ISO-8859-1")
+    return tables.read_headed_csv(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS line_no, 'h ' || o_orderkey AS hypothesis, 'r ' || o_orderkey * 2 AS reference FROM orders")
+def parallel_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of as many lines, cut in different places."""
+    paths = []
+    for label, text, parts in (("hypothesis", F.concat(F.lit("h "), F.col("o_orderkey").cast("string")), 3), ("reference", F.concat(F.lit("r "), (F.col("o_orderkey") * 2).cast("string")), 5)):
+        paths.append(staging.new_path(spark, label))
+        table(spark, sf_dir, "orders").repartitionByRange(parts, "o_orderkey").sortWithinPartitions("o_orderkey").select(text.alias("value")).write.text(paths[-1])
+    return tables.read_parallel_text(spark, *paths)
+
+
+@query("SELECT n_nationkey AS step, n_nationkey / 2::DOUBLE AS train_loss, NULL::DOUBLE AS eval_loss FROM nation UNION ALL SELECT n_nationkey, NULL, n_nationkey / 4::DOUBLE FROM nation WHERE n_nationkey % 5 = 0")
+def train_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, rows = staging.new_path(spark, "log"), nation_rows(spark, sf_dir)
+    train, evals = rows.select(F.col("k").alias("step"), (F.col("k") / 2).alias("train_loss")), rows.where("k % 5 = 0").select(F.col("k").alias("step"), (F.col("k") / 4).alias("eval_loss"))
+    jsonl.write_log(train.where("step < 10"), evals.where("step < 10"), path)
+    jsonl.write_log(train.where("step >= 10"), evals.where("step >= 10"), path)
+    return jsonl.read_records(spark, path, "step long, train_loss double, eval_loss double")
+
+
 # --- facts, claims, style, score --------------------------------------------------------------------------------------
 
 
@@ -266,7 +391,7 @@ def shown_map(m: Column) -> Column:
 d AS (SELECT 'pair_type' AS kind, pair_type AS value, count(*) AS n FROM pairs GROUP BY 2 UNION ALL SELECT 'chosen_source', chosen_source, count(*) FROM pairs GROUP BY 2 UNION ALL SELECT 'rejected_source', rejected_source, count(*) FROM pairs GROUP BY 2 UNION ALL SELECT 'rejected_role', rejected_role_hint, count(*) FROM pairs GROUP BY 2)
 SELECT (SELECT count(*) FROM orders) AS num_records, (SELECT count(*) FROM pairs) AS num_dpo_pairs, (SELECT count(*) FROM orders) - (SELECT count(DISTINCT k) FROM pairs) AS skipped_records_without_pairs,
   (SELECT round(coalesce(avg(margin), 0), 7) FROM pairs) AS avg_margin, (SELECT round(coalesce(max(margin), 0), 9) FROM pairs) AS max_margin, (SELECT round(coalesce(min(margin), 0), 9) FROM pairs) AS min_margin_actual,
-  CAST(0 AS BIGINT) AS invalid_chosen_hard_negative, CAST(0 AS BIGINT) AS invalid_rejected_reference,
+  (SELECT count(*) FILTER (starts_with(chosen_source, 'hard_negative') OR chosen_role_hint = 'negative_only') FROM pairs) AS invalid_chosen_hard_negative, (SELECT count(*) FILTER (rejected_source = 'reference' OR rejected_role_hint = 'positive_anchor') FROM pairs) AS invalid_rejected_reference,
   {", ".join(f"(SELECT string_agg(value || '=' || n, ',' ORDER BY value) FROM d WHERE kind = '{k}') AS {k}_distribution" for k in ("pair_type", "chosen_source", "rejected_source", "rejected_role"))}""")
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = pairs.pair_summary(corpus.pool(spark, sf_dir), pairs.build_pairs(scored_corpus(spark, sf_dir)))
@@ -274,6 +399,18 @@ def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("num_records", "num_dpo_pairs", "skipped_records_without_pairs", F.round("avg_margin", 7).alias("avg_margin"), F.round("max_margin", 9).alias("max_margin"), F.round("min_margin_actual", 9).alias("min_margin_actual"), "invalid_chosen_hard_negative", "invalid_rejected_reference", *shown)
 
 
+@query(f"""WITH n AS (SELECT k, source, role_hint, lead(source) OVER w AS after, lead(role_hint) OVER w AS after_role FROM {sql.candidates()} WINDOW w AS (PARTITION BY k ORDER BY pos))
+SELECT CAST(count(*) AS BIGINT) AS num_dpo_pairs, count(*) FILTER (starts_with(after, 'hard_negative') OR after_role = 'negative_only') AS invalid_chosen_hard_negative, count(*) FILTER (source = 'reference' OR role_hint = 'positive_anchor') AS invalid_rejected_reference
+FROM n WHERE after IS NOT NULL""")
+def violated_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each candidate rejected in favour of the next one, which breaks both invariants very often."""
+    c = F.col("candidates")
+    rows = T.exploded(records(spark, sf_dir), ["k"], F.transform(c, lambda x, i: F.struct(x.alias("r"), F.get(c, i + 1).alias("c"))), "pos", "p").where(F.col("p.c").isNotNull())
+    sides = [F.col(f"p.{key}.{field}").alias(f"{name}_{field}") for name, key in (("chosen", "c"), ("rejected", "r")) for field in ("source", "role_hint")]
+    made = rows.select(F.concat_ws("_pair_", F.col("k").cast("string"), F.col("pos").cast("string")).alias("id"), *sides, F.lit("any").alias("pair_type"), F.lit(0.0).alias("margin"))
+    return pairs.pair_summary(corpus.pool(spark, sf_dir), made).select("num_dpo_pairs", "invalid_chosen_hard_negative", "invalid_rejected_reference")
+
+
 # --- vectors ----------------------------------------------------------------------------------------------------------
 
 VECTOR_PAIRS = "FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"
@@ -410,7 +547,7 @@ def dpo_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Orders go into micro-batches of four by key; 300 micro-batches are an epoch.
-BATCHES_SQL = f"(SELECT (k // 4) // 300 AS epoch, (k // 4) % 300 AS batch, count(*) AS n, {', '.join(f'avg({m}) AS {m}' for m in preference.METRICS)} FROM {TERMS_SQL} GROUP BY 1, 2)"
+BATCHES_SQL = f"(SELECT (k // 4) // 300 AS epoch, (k // 4) % 300 AS batch, count(*) AS n, {', '.join(f'sum(CAST({m} AS DECIMAL(38, 12))) AS {m}' for m in preference.METRICS)} FROM {TERMS_SQL} GROUP BY 1, 2)"
 
 
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,12 +557,12 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def means_sql(prefix: str) -> str:
-    return ", ".join(f"round(sum({m} * n) / sum(n), 5) AS {prefix}_{m}" for m in preference.METRICS)
+    return ", ".join(f"round(CAST(sum({m}) AS DOUBLE) / sum(n), 10) AS {prefix}_{m}" for m in preference.METRICS)
 
 
 @query(f"SELECT {means_sql('eval')} FROM {BATCHES_SQL}")
 def dpo_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.eval_metrics(micro_batches(spark, sf_dir)).select(*[F.round(f"eval_{m}", 5).alias(f"eval_{m}") for m in preference.METRICS])
+    return preference.eval_metrics(micro_batches(spark, sf_dir)).select(*[F.round(f"eval_{m}", 10).alias(f"eval_{m}") for m in preference.METRICS])
 
 
 LOG_SQL = f"SELECT CAST(ceil((epoch * 37 + batch // 8 + 1) / 10.0) * 10 AS BIGINT) AS step, epoch + 1 AS epoch, {means_sql('train')} FROM {BATCHES_SQL} WHERE ceil((epoch * 37 + batch // 8 + 1) / 10.0) * 10 <= (epoch + 1) * 37 GROUP BY 1, 2"
@@ -434,7 +571,7 @@ LOG_SQL = f"SELECT CAST(ceil((epoch * 37 + batch // 8 + 1) / 10.0) * 10 AS BIGIN
 @query(LOG_SQL)
 def train_log_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preference.train_log(micro_batches(spark, sf_dir), 10, 300, 8)
-    return rows.select("step", "epoch", *[F.round(f"train_{m}", 5).alias(f"train_{m}") for m in preference.METRICS])
+    return rows.select("step", "epoch", *[F.round(f"train_{m}", 10).alias(f"train_{m}") for m in preference.METRICS])
 
 
 @query(f"SELECT step, train_loss AS eval_loss, coalesce(train_loss < min(train_loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS is_best FROM ({LOG_SQL})")
@@ -443,6 +580,32 @@ def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.best_checkpoints(evals).select("step", "eval_loss", "is_best")
 
 
+RATE = (2e-5, 20, 400)
+
+
+@query(f"SELECT k AS step, round({RATE[0]}::DOUBLE * CASE WHEN k < {RATE[1]} THEN k / {RATE[1]}::DOUBLE ELSE greatest(0, 0.5::DOUBLE * (1 + cos(pi() * (k - {RATE[1]}) / {RATE[2] - RATE[1]}))) END, 12) AS learning_rate FROM (SELECT DISTINCT o_orderkey % 420 AS k FROM orders)")
+def learning_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 420).alias("step")).distinct()
+    return steps.select("step", F.round(preference.learning_rate(F.col("step"), *RATE), 12).alias("learning_rate"))
+
+
+@query("SELECT k, round(list_sum([x for x in p if x % 3 <> 0]) / 8::DOUBLE, 7) AS total, round(list_sum([x for x in p if x % 3 <> 0]) / 8::DOUBLE / len([x for x in p if x % 3 <> 0]), 7) AS mean FROM (SELECT o_orderkey AS k, [-((o_orderkey * i) % 40) * 3 - i for i in range(1, 8)] AS p FROM orders)")
+def sequence_logps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    values = F.array(*[(-((k * i) % 40) * 3 - i).cast("int") for i in range(1, 8)])
+    rows = table(spark, sf_dir, "orders").select(k.alias("k"), F.transform(values, lambda x: x / 8.0).alias("p"), F.transform(values, lambda x: F.when(x % 3 == 0, -100).otherwise(1)).alias("y"))
+    return rows.select("k", F.round(preference.sequence_logp(F.col("p"), F.col("y")), 7).alias("total"), F.round(preference.sequence_logp(F.col("p"), F.col("y"), True), 7).alias("mean"))
+
+
+@query("SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: CAST((a.embedding[i]::DOUBLE + b.embedding[i]::DOUBLE) / 2 AS FLOAT)::DOUBLE * i)), 4) AS weighed FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two token vectors and one that the mask leaves out, summed up with weights by place."""
+    tokens = F.array("a", F.transform("a", lambda x: x * 100), "b")
+    pooled = vectors.mean_pool(tokens, F.array(F.lit(1), F.lit(0), F.lit(1)))
+    total = F.aggregate(F.transform(pooled, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return neighbours(spark, sf_dir).select("vec_id", F.round(total, 4).alias("weighed"))
+
+
 # --- text metrics -----------------------------------------------------------------------------------------------------
 
 #: Each model output of stage 0 against the reference of its function.

@@ -7,7 +7,7 @@ are skipped, as is invalid UTF-8's damage: the reader replaces it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,18 +20,16 @@ TEXT_SCHEMA = T.StructType([T.StructField(k, T.StringType()) for k in TEXTS])
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their 1-based number, blank ones included: (line_no, value).
 
-    Numbers come from the files' order and the lines' order within: lines are numbered by task, and the counts of
-    earlier tasks are added. Only one count per task is collected.
+    Numbers follow the files' names and the lines' places within. Files are read in blocks; a block's lines are together
+    in one task, so a line's number is that of its block's first line plus its distance from it. Blocks are counted in
+    one pass and numbered in one small table, a row a block, which lines are joined with; nothing is collected.
     """
-    lines = spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    counts = {r.part: r.n for r in lines.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    if not before:
-        return lines.select(F.lit(1).cast("long").alias("line_no"), "value")
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
-    return lines.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long").alias("line_no"), "value")
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *block, F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return placed.select((F.col("before") + F.col("at") - F.col("first") + 1).cast("long").alias("line_no"), "value")
 
 
 def parsed(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -121,6 +119,11 @@ def write_records(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
+def write_log(train: DataFrame, evals: DataFrame, path: str) -> None:
+    """Appends training and evaluation rows to one log; each row has the fields of its own kind only."""
+    write_records(train.unionByName(evals, allowMissingColumns=True), path, append=True)
+
+
 def write_summary(row: DataFrame, output_path: str) -> str:
     """A run's one-row summary beside its output, as ``<output>.summary.json``."""
     path = f"{output_path.removesuffix('.jsonl')}.summary.json"
@@ -129,12 +132,15 @@ def write_summary(row: DataFrame, output_path: str) -> str:
 
 
 def swap_records(df: DataFrame, path: str) -> None:
-    """Replaces records that ``df`` may itself be reading: written aside, then moved into place."""
+    """Replaces records that ``df`` may itself be reading: written aside, then moved into place. The old ones are moved
+    away before and deleted after, so a crash in between leaves them, or the new ones, beside the path."""
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.next"
+    fresh, aside = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.previous"
     df.write.mode("overwrite").json(fresh)
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
+    old, new, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh, aside))
     fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    fs.delete(gone, True)
+    if fs.exists(old) and not fs.rename(old, gone) or not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced; see {fresh} and {aside}")
+    fs.delete(gone, True)

@@ -16,8 +16,9 @@ from ..sources.jsonl import done_ids, pool_samples
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """A stream has no line numbers; a checksum of the line stands in, so that a line without id keeps its id."""
-    return lines.withColumn("line_no", F.crc32("value"))
+    """A stream has no line numbers; a digest of the line stands in, so that a line without id keeps its id, and two
+    different lines never share one."""
+    return lines.withColumn("line_no", F.substring(F.sha2("value", 256), 1, 32))
 
 
 def stream_candidates(spark: SparkSession, source: str, output: str, checkpoint: str, plan: GenerationPlan = GenerationPlan(), files_per_batch: int = 100) -> StreamingQuery:

@@ -151,3 +151,26 @@ def test_every_query_runs_and_rules_occur(spark, data):
     kinds = {r.pair_type.rstrip("12345") for r in catalog.dpo_pairs(spark, data).collect()}
     assert len(facts - {""}) == 8 and len(flags - {""}) == 10
     assert {"top_vs_hard_negative", "top_vs_low_model_"} <= kinds
+
+
+def test_lines_with_equal_checksums_stay_apart(spark, tmp_path):
+    import zlib
+
+    seen, k = {}, 0
+    while True:
+        line = '{"instruction": "do", "function": "f%d() {}", "reference": "Does it."}' % k
+        if (c := zlib.crc32(line.encode())) in seen:
+            break
+        seen[c], k = line, k + 1
+    (tmp_path / "pool").mkdir()
+    (tmp_path / "pool" / "a.jsonl").write_text(seen[c] + "\n" + line + "\n")
+    stream_candidates(spark, f"{tmp_path}/pool", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert spark.read.json(f"{tmp_path}/out").count() == 2
+
+
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("one\n")
+    (tmp_path / "in" / "b.txt").write_text("\n".join(f"longer line {k}" for k in range(5000)))
+    got = {r.line_no: r.value for r in jsonl.read_lines(spark, f"{tmp_path}/in").collect()}
+    assert got == {1: "one", **{k + 2: f"longer line {k}" for k in range(5000)}}
