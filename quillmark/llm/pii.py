@@ -46,7 +46,7 @@ IBAN = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA
 def iban_pattern() -> str:
     """Exactly as many characters as the country's numbers have, so that a word after the number is none of it."""
     forms = [f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN.items()]
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
 
 
 #: Possessive forms of the base patterns: what they match is the same, in linear time and without recursion.
