@@ -1,6 +1,7 @@
 """URL filters by expanded expressions, in DataFrame functions only.
 
-Each URL is expanded into its host suffixes times those prefixes of its path that are as long as some rule's path.
+Each URL is expanded into those host suffixes that have as many labels as some rule's host, times those prefixes of its
+path that are as long as some rule's path, so that neither a long host nor a long path costs more than the rules ask for.
 An expression's SHA-256 is looked up in two steps: an equi-join on its first four bytes, then a comparison of the full
 digest. Of the rules that fit a URL, the longest wins.
 """
@@ -27,17 +28,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and all its parent domains, the host first."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, labels: list[int]) -> Column:
+    """The host's last labels, as many as each of the given counts says; none for a count that the host has not."""
+    have = F.length(host) - F.length(F.translate(host, ".", "")) + 1
+    counts = F.filter(F.lit(labels).cast("array<int>"), lambda k: k <= have)
+    return F.transform(counts, lambda k: F.call_function("substring_index", host, F.lit("."), -k))
+
+
+def path_prefixes(path: Column, lengths: list[int]) -> Column:
+    """Beginnings of the path that are as long as each of the given lengths says, where the path is as long."""
+    return F.transform(F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
 
 
 def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat(host, F.lit(BAR), path), 256)
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", prefix_chars: int = 8, max_path_lengths: int = 1000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", prefix_chars: int = 8) -> DataFrame:
     """Every row of ``pages`` with host, path, rule (``host`` + ``path`` of the winning rule, else null) and verdict.
 
     ``rules`` has host, path and verdict (allow or block). A rule fits its host and all subdomains if the URL's path
@@ -48,18 +55,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     a null host, path or verdict are left out; repeated ones count once, and contradicting ones block. Repeated
     pages each give a row. Columns of ``pages`` called host, path, rule or verdict give way. URLs are expanded once
     for each distinct URL, and only URLs that meet a rule are joined back, so neither a hot host nor repeated URLs
-    gather in one task; Spark broadcasts the rules only below its own size threshold.
+    gather in one task; Spark broadcasts the rules only below its own size threshold. The driver holds the distinct label
+    counts and path lengths of the rules, a few numbers however many rules there are.
     """
     rule = rules.select(F.translate(F.col("host"), *LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).dropna()
     rule = rule.groupBy("r_host", "r_path").agg(F.max("r_verdict").alias("r_verdict"))
-    lengths = [r.n for r in rule.select(F.length("r_path").alias("n")).distinct().orderBy("n").limit(max_path_lengths + 1).collect()]
-    if len(lengths) > max_path_lengths:
-        raise ValueError(f"rules have more than {max_path_lengths} distinct path lengths")
+    count = lambda n: [r.n for r in rule.select(n.alias("n")).distinct().orderBy("n").collect()]
+    lengths, labels = count(F.length("r_path")), count(F.size(F.split("r_host", r"\.")))
     rule = rule.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("key", F.substring("r_digest", 1, prefix_chars))
     judged = attach(pages, {"host": host_of(F.col(quoted(url_col))), "path": path_of(F.col(quoted(url_col)))})
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.expr("cast(array() as array<string>)")
     urls = judged.select(F.col("host"), F.col("path")).distinct()
-    expanded = urls.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("suffix")).select("host", "path", "suffix", F.explode(prefixes).alias("prefix"))
+    expanded = urls.select("host", "path", F.explode(host_suffixes(F.col("host"), labels)).alias("suffix")).select("host", "path", "suffix", F.explode(path_prefixes(F.col("path"), lengths)).alias("prefix"))
     expanded = expanded.select("host", "path", digest(F.col("suffix"), F.col("prefix")).alias("digest")).withColumn("key", F.substring("digest", 1, prefix_chars))
     met = expanded.join(rule, "key").where(F.col("digest") == F.col("r_digest"))
     rank = F.struct((F.length("r_host") + F.length("r_path")).alias("size"), F.length("r_host").alias("host_size"), F.col("r_verdict").alias("verdict"), F.concat("r_host", "r_path").alias("rule"))

@@ -47,3 +47,11 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id bigint, url string")
     plan = filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_hosts_and_very_many_path_lengths(spark):
+    rules = [("com", "/" + "a" * k, "block" if k % 2 else "allow") for k in range(2500)] + [("a.b.c.d.net", "/", "block")]
+    urls = ["http://" + "x." * 20_000 + "com/" + "a" * 1700, "http://com/" + "a" * 9000, "http://y.a.b.c.d.net/", "http://b.c.d.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = filter_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).orderBy("page_id").collect()
+    assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [judge(u, rules) for u in urls]
