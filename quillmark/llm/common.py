@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 import re
 import sys
-import tempfile
 import types
 import uuid
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
 
-    A machine-local temporary folder stands in only where the setting is missing and the master is local.
+    Where it is missing and the master is local, as in tests, a folder beside the session's warehouse stands in.
     """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
@@ -25,12 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    conf_key = "quillmark.staging.dir"
-    found = spark.conf.get(conf_key, "")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quillmark-")
-        spark.conf.set(conf_key, found)
-    return found
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillmark"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -65,9 +59,17 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: No value of more bytes is broadcast.
+MOST_SHIPPED = 512 << 20
+
+
 def ship(spark: SparkSession, value):
-    """Broadcasts a value of checked size by value, classes of this package included; ``received`` opens it."""
-    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    """Broadcasts a value by value, classes of this package included; ``received`` opens it. What is too large for every
+    task to hold raises an error."""
+    data = cloudpickle.dumps(value)
+    if len(data) > MOST_SHIPPED:
+        raise ValueError(f"a broadcast of {len(data)} bytes; {MOST_SHIPPED} at most")
+    return spark.sparkContext.broadcast(data)
 
 
 def received(shipped):

@@ -6,13 +6,15 @@ exactly only if it contains every shingle of it, so one necessary token, the rar
 has to be joined. A document position that joins is bounded by length (the window must fit) and by position
 (the window starts ``offset`` words earlier), and then verified word by word over the window.
 
-The prefix index grows with the benchmark, not with the corpus. It is shipped to the executors in blocks of
-at most ``block_windows`` windows; a larger benchmark takes several passes, whose hits are united by document.
-Documents are never shuffled in a single pass, so a hot source or passage needs no salting.
+The prefix index grows with the benchmark, not with the corpus. It is made, counted, shipped and released in blocks of
+at most ``block_windows`` windows, one block at a time, so neither the driver nor a task ever holds two; a larger
+benchmark takes several passes, whose hits are staged and united by document. In a single pass documents are never
+shuffled, so a hot source or passage needs no salting.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, received, ship, stash
+from .common import attach, free_name, quoted, received, ship, stash
 
 #: Words are runs of digits, letters a-z and bytes of non-ASCII characters, after A-Z are lower-cased.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -145,30 +147,29 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def shingle_counts(docs: DataFrame, text_col: str, indexes: list[WindowIndex]) -> dict[tuple[int, int, int], int]:
-    """How often all documents contain each benchmark shingle, by (block, size, key).
+def shingle_counts(docs: DataFrame, text_col: str, index: WindowIndex) -> dict[tuple[int, int], int]:
+    """How often all documents contain each benchmark shingle of a block, by (size, key).
 
     Each task adds up what it sees, so at most one row for a benchmark shingle and task is shuffled.
     """
-    shipped = ship(docs.sparkSession, [(ix, ix.all_keys()) for ix in indexes])
+    shipped = ship(docs.sparkSession, (index, index.all_keys()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = received(shipped)
-        totals = [{s: np.zeros(len(k), np.int64) for s, k in keys.items()} for _, keys in known]
+        ix, keys = received(shipped)
+        total = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
         for batch in batches:
             for text in batch.column(0):
-                words = split_words(text.as_py())
-                for (ix, keys), total in zip(known, totals):
-                    ids = ix.ids(words)
-                    for s, k in keys.items():
-                        _, got = ix.candidates(ids, s, k)
-                        np.add.at(total[s], np.searchsorted(k, got), 1)
-        rows = [(b, s, int(k), int(c)) for b, ((_, keys), total) in enumerate(zip(known, totals)) for s in keys for k, c in zip(keys[s].view(np.int64), total[s]) if c]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["block", "size", "key", "n"])
+                ids = ix.ids(split_words(text.as_py()))
+                for s, k in keys.items():
+                    _, got = ix.candidates(ids, s, k)
+                    np.add.at(total[s], np.searchsorted(k, got), 1)
+        rows = [(s, int(k), int(c)) for s in keys for k, c in zip(keys[s].view(np.int64), total[s]) if c]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], ["size", "key", "n"])
 
-    seen = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "block int, size int, key bigint, n bigint")
-    rows = seen.groupBy("block", "size", "key").agg(F.sum("n").alias("n")).collect()
-    return {(r.block, r.size, r.key & (2**64 - 1)): r.n for r in rows}
+    seen = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "size int, key bigint, n bigint")
+    rows = seen.groupBy("size", "key").agg(F.sum("n").alias("n")).collect()
+    shipped.destroy()
+    return {(r["size"], r.key & (2**64 - 1)): r.n for r in rows}
 
 
 def find_windows(docs: DataFrame, text_col: str, index: WindowIndex):
@@ -190,7 +191,7 @@ def find_windows(docs: DataFrame, text_col: str, index: WindowIndex):
     return F.arrow_udf(hits, HITS)(F.col(text_col).cast("string"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = 5, share: tuple[int, int] = (1, 20), block_windows: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shingle: int = 5, share: tuple[int, int] = (1, 20), block_windows: int = 250_000) -> DataFrame:
     """Every row of ``docs`` with n_words, n_hit, n_items, item_ids (sorted as strings), hit_spans and contaminated.
 
     ``hit_spans`` are disjoint runs of word numbers inside any occurrence of a benchmark window. A document is
@@ -199,41 +200,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     Null or empty text has no words and no hits. A benchmark row without text (or words) has no window; one
     without an id marks hits but names no item. Repeated rows of ``docs`` each give a row; a repeated item counts
     once. Columns of ``docs`` named like a result give way to it. Empty tables give no rows or no hits. Whole
-    texts are read whatever their length. The benchmark is collected to the driver and shipped in blocks of
-    ``block_windows`` windows at most: one pass over ``docs`` for each block.
+    texts are read whatever their length. Benchmark texts come to the driver one block of ``block_windows`` windows at a
+    time (a single text of more is a block of its own); each block is two passes over ``docs``.
     """
     texts = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull()).distinct()
-    blocks: list[list[tuple[str | None, str | None]]] = [[]]
-    room = block_windows
-    for item, text in texts.toLocalIterator():
-        n = len(windows_of(split_words(text), window))
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = block_windows
-        blocks[-1].append((item, text))
-        room -= n
-    indexes = [WindowIndex(sorted(b, key=lambda x: (x[0] or "", x[1] or "")), window, shingle) for b in blocks]
-    if any(ix.windows for ix in indexes):
-        counts = shingle_counts(docs, text_col, indexes)
-    else:
-        counts = {}
-    for b, ix in enumerate(indexes):
-        ix.order({(s, k): n for (bb, s, k), n in counts.items() if bb == b})
-    if len(indexes) == 1:
-        return finish(docs, find_windows(docs, text_col, indexes[0]), share)
+
+    def ordered(items: list[tuple[str | None, str | None]], rows: DataFrame, column: str) -> WindowIndex:
+        index = WindowIndex(sorted(items, key=lambda x: (x[0] or "", x[1] or "")), window, shingle)
+        index.order(shingle_counts(rows, column, index) if index.windows else {})
+        return index
+
+    blocks = blocks_of(texts, window, block_windows)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return finish(docs, find_windows(docs, text_col, ordered(first, docs, quoted(text_col))), share)
     # further blocks: a pass for each over a table that the shared folder holds, so that every pass sees the same rows
-    found = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.expr("uuid()").alias("uid")), "docs")
-    united = None
-    for ix in indexes:
-        part = found.select("uid", find_windows(found, f"row.`{text_col}`", ix).alias("h")).where(F.size("h.spans") > 0)
+    found = stash(docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.expr("uuid()").alias("uid")), "docs")
+    text, united = f"row.{quoted(text_col)}", None
+    for block in itertools.chain([first, second], blocks):
+        part = found.select("uid", find_windows(found, text, ordered(block, found, text)).alias("h")).where(F.size("h.spans") > 0)
+        part = stash(part, "hits")
         united = part if united is None else united.unionByName(part)
     joined = united.groupBy("uid").agg(F.flatten(F.collect_list("h.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.items")))).alias("items"))
     nothing = WindowIndex([], window, shingle)
     nothing.order({})
-    empty = found.select("row", "uid", find_windows(found, f"row.`{text_col}`", nothing).alias("e"))
+    empty = found.select("row", "uid", find_windows(found, text, nothing).alias("e"))
     whole = empty.join(joined, "uid", "left")
     hits = F.struct(F.col("e.n_words").alias("n_words"), union_spans(F.coalesce(F.col("spans"), F.col("e.spans"))).alias("spans"), F.coalesce(F.col("items"), F.col("e.items")).alias("items"))
-    return finish(whole.select("row.*", hits.alias("__hits")), F.col("__hits"), share, drop="__hits")
+    held = free_name(docs, "_hits")
+    return finish(whole.select("row.*", hits.alias(held)), F.col(held), share, held)
+
+
+def blocks_of(texts: DataFrame, window: int, most: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """Items in blocks of at most ``most`` windows, the next one only when it is asked for."""
+    block, room = [], most
+    for item, text in texts.toLocalIterator():
+        n = len(windows_of(split_words(text), window))
+        if n > room and block:
+            yield block
+            block, room = [], most
+        block.append((item, text))
+        room -= n
+    if block:
+        yield block
 
 
 def union_spans(spans):
@@ -245,9 +254,12 @@ def union_spans(spans):
     return F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
 
 
-def finish(docs: DataFrame, hits, share: tuple[int, int], drop: str | None = None) -> DataFrame:
-    held = docs.withColumn("__hits", hits) if drop is None else docs
-    h = F.col("__hits")
+def finish(docs: DataFrame, hits, share: tuple[int, int], held: str | None = None) -> DataFrame:
+    """``docs`` with what its hits, in the column ``held`` if they have one, say."""
+    if held is None:
+        held = free_name(docs, "_hits")
+        docs = docs.withColumn(held, hits)
+    h = F.col(held)
     n_hit = F.coalesce(F.aggregate(h["spans"], F.lit(0), lambda n, s: n + s["end"] - s["start"]), F.lit(0)).cast("long")
-    out = attach(held, {"n_words": h["n_words"], "n_hit": n_hit, "n_items": F.size(h["items"]).cast("long"), "item_ids": h["items"], "hit_spans": h["spans"], "contaminated": (n_hit > 0) & (share[1] * n_hit >= share[0] * h["n_words"])})
-    return out.drop("__hits")
+    out = attach(docs, {"n_words": h["n_words"], "n_hit": n_hit, "n_items": F.size(h["items"]).cast("long"), "item_ids": h["items"], "hit_spans": h["spans"], "contaminated": (n_hit > 0) & (share[1] * n_hit >= share[0] * h["n_words"])})
+    return out.drop(held)

@@ -1,7 +1,8 @@
 import random
-
 import re
+import weakref
 
+import quillmark.llm.decontaminate as decontaminate_module
 from quillmark.llm.decontaminate import decontaminate
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,12 +67,30 @@ def test_empty_tables(spark):
 
 
 def test_clashing_and_extra_columns(spark):
-    frame = spark.createDataFrame([(1, "one two three", "own", 5)], "doc_id bigint, text string, N_Words string, extra int")
-    bench = spark.createDataFrame([(4, "two three")], "item_id bigint, text string")
-    row = decontaminate(frame, bench).first()
-    assert (row.n_words, row.n_hit, row.item_ids, row.extra) == (3, 2, ["4"], 5)
+    frame = spark.createDataFrame([(1, "one two three", "own", 5, "mine")], "doc_id bigint, text string, N_Words string, extra int, _hits string")
+    bench = spark.createDataFrame([(4, "two three"), (5, "two"), (6, "four")], "item_id bigint, text string")
+    for most in (100, 1):
+        row = decontaminate(frame, bench, block_windows=most).first()
+        assert (row.n_words, row.n_hit, row.item_ids, row.extra, row._hits) == (3, 2, ["4", "5"], 5, "mine")
 
 
 def test_long_text(spark):
     long = " ".join(["filler"] * 50_000 + ["alpha", "beta", "gamma"] + ["filler"] * 50_000)
     check(spark, [(1, long)], [(1, "alpha beta gamma")])
+
+
+def test_one_block_at_a_time(spark, monkeypatch):
+    docs, items = random_case(5)
+    sizes, made = [], decontaminate_module.WindowIndex
+
+    class Counted(made):
+        def __init__(self, *given):
+            super().__init__(*given)
+            sizes.append(len(self.windows))
+            alive.add(self)
+            assert len([x for x in alive if x.windows]) <= 2  # the last one and the one being made
+
+    alive = weakref.WeakSet()
+    monkeypatch.setattr(decontaminate_module, "WindowIndex", Counted)
+    check(spark, docs, items, block_windows=6)
+    assert len(sizes) > 5
