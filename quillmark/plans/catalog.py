@@ -633,7 +633,11 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_metrics.bleu(metric_rows(spark, sf_dir)).select(*[F.round(f"bleu_{n}", 7).alias(f"bleu_{n}") for n in (1, 2, 3, 4)])
 
 
-@query()
+@query(f"""WITH RECURSIVE m AS MATERIALIZED {METRIC_SQL}, f(id, h, r, k, row) AS (
+  SELECT id, h, r, 0, list_transform(range(0, len(r) + 1), lambda i: 0) FROM m UNION ALL
+  SELECT id, h, r, k + 1, list_reduce(range(1, len(r) + 1), lambda done, j: list_append(done, greatest(row[j + 1], done[j], CASE WHEN r[j] = h[k + 1] THEN row[j] + 1 ELSE 0 END)), [0::BIGINT]) FROM f WHERE k < len(h)),
+c AS (SELECT id, list_last(row) AS lcs, list_last(row) / len(h) AS p, list_last(row) / len(r) AS q FROM f WHERE k = len(h))
+SELECT id, CAST(lcs AS BIGINT) AS lcs, round(CASE WHEN lcs > 0 THEN (1 + 1.44::DOUBLE) * q * p / (q + 1.44::DOUBLE * p) ELSE 0 END, 7) AS rouge_l FROM c""")
 def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_metrics.rouge_l(metric_rows(spark, sf_dir)).select("id", "lcs", F.round("rouge_l", 7).alias("rouge_l"))
 
