@@ -9,7 +9,7 @@ import argparse
 import dataclasses
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring as S
@@ -45,6 +45,11 @@ def make_candidates(spark: SparkSession, c: Candidates, generators: dict[str, mo
     return jsonl.read_records(spark, c.output, RECORD)
 
 
+def settings(config) -> Column:
+    """The fields of a configuration as one struct, for a run's summary."""
+    return F.struct(*[F.lit(v).alias(k) for k, v in dataclasses.asdict(config).items()])
+
+
 @dataclass(frozen=True)
 class Scores:
     candidates: str = ""
@@ -72,7 +77,7 @@ def score(spark: SparkSession, c: Scores, encoder: vectors.Encoder = vectors.has
     jsonl.write_records(plain, c.output)
     back = jsonl.read_records(spark, c.output, SCORED)
     n = F.coalesce(F.size("candidates"), F.lit(0))
-    jsonl.write_summary(back.agg(F.count(F.lit(1)).alias("num_records"), F.coalesce(F.sum(n), F.lit(0)).alias("num_candidates")), c.output)
+    jsonl.write_summary(back.agg(F.count(F.lit(1)).alias("num_records"), F.coalesce(F.sum(n), F.lit(0)).alias("num_candidates")).withColumns({"weights": settings(c.weights), "encoder": F.lit(getattr(encoder, "__name__", "encoder"))}), c.output)
     return back
 
 
@@ -88,7 +93,7 @@ def make_pairs(spark: SparkSession, c: Pairs) -> DataFrame:
     made = pairs.build_pairs(records.withColumn("candidates", F.coalesce("candidates", F.expr(f"cast(array() as array<{SCORED_CANDIDATE}>)"))), c.rules)
     jsonl.write_records(made, c.output)
     back = jsonl.read_records(spark, c.output, made.schema)
-    jsonl.write_summary(pairs.pair_summary(records, back), c.output)
+    jsonl.write_summary(pairs.pair_summary(records, back).withColumn("rules", settings(c.rules)), c.output)
     return back
 
 
@@ -165,7 +170,36 @@ def evaluate_table(spark: SparkSession, source: str, output: str, headed: bool,
     return out
 
 
-STEPS = {"candidates": (Candidates, make_candidates), "score": (Scores, score), "pairs": (Pairs, make_pairs), "predict": (Predictions, predict)}
+@dataclass(frozen=True)
+class Evaluation:
+    source: str = ""
+    output: str = ""
+    headed: bool = True
+
+
+def evaluation(spark: SparkSession, c: Evaluation, encoder: vectors.Encoder = vectors.hashed_encoder) -> DataFrame:
+    return evaluate_table(spark, c.source, c.output, c.headed, encoder)
+
+
+@dataclass(frozen=True)
+class Split:
+    pairs: str = ""
+    output: str = ""
+    eval_ratio: float = 0.1
+    seed: int = 42
+
+
+def split(spark: SparkSession, c: Split) -> DataFrame:
+    """Training pairs with their part, under the output; a summary counts them."""
+    made = resume.split_train_eval(jsonl.pair_samples(jsonl.read_lines(spark, c.pairs)), c.eval_ratio, c.seed)
+    jsonl.write_records(made, c.output)
+    back = jsonl.read_records(spark, c.output, made.schema)
+    part = lambda name: F.count_if(F.col("part") == name).alias(f"num_{name}")
+    jsonl.write_summary(back.agg(F.count(F.lit(1)).alias("num_pairs"), part("train"), part("eval")).withColumn("settings", settings(c)), c.output)
+    return back
+
+
+STEPS = {"candidates": (Candidates, make_candidates), "score": (Scores, score), "pairs": (Pairs, make_pairs), "predict": (Predictions, predict), "split": (Split, split), "evaluate": (Evaluation, evaluation)}
 NESTED = {"plan": C.GenerationPlan, "weights": S.Weights, "rules": pairs.PairRules}
 
 

@@ -174,3 +174,15 @@ def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("\n".join(f"longer line {k}" for k in range(5000)))
     got = {r.line_no: r.value for r in jsonl.read_lines(spark, f"{tmp_path}/in").collect()}
     assert got == {1: "one", **{k + 2: f"longer line {k}" for k in range(5000)}}
+
+
+def test_split_and_evaluation_steps(spark, tmp_path):
+    (tmp_path / "pairs.jsonl").write_text("".join('{"id": "p%d", "prompt": "q", "chosen": "a", "rejected": "b"}\n' % k for k in range(20)))
+    out = f"{tmp_path}/split"
+    commands.main(["split", "--pairs", f"{tmp_path}/pairs.jsonl", "--output", out, "--eval-ratio", "0.25"])
+    assert spark.read.json(out).where("part = 'eval'").count() == 5
+    told = spark.read.json(f"{out}.summary.json").first()
+    assert (told.num_pairs, told.num_train, told.num_eval, told.settings.seed) == (20, 15, 5, 42)
+    (tmp_path / "plain.csv").write_text("add a,add a\nsend,mint\n")
+    commands.main(["evaluate", "--source", f"{tmp_path}/plain.csv", "--output", f"{tmp_path}/scored", "--no-headed"])
+    assert sorted(round(float(r._c2), 3) for r in spark.read.csv(f"{tmp_path}/scored").collect())[-1] == 1.0
