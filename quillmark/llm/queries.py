@@ -52,7 +52,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_classifier.classify_quality(docs).select("doc_id", "score", "n_abuse", "kept")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return quality_classifier.classify_quality(docs, labels=labels).select("doc_id", "score", "toxicity", "kept")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

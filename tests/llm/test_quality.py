@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
-from quillmark.llm.quality_classifier import classify_quality
+from quillmark.llm.quality_classifier import LABELLERS, classify_quality, label
 from quillmark.llm.quality_rules import RULES, quality_rules
 from quillmark.llm.weak_supervision import fit
 
@@ -90,8 +92,17 @@ def test_accuracy_of_both_against_labels(spark):
         good, bad = [r.kept for r in rows if r.truth == 1], [r.kept for r in rows if r.truth == 0]
         assert sum(good) >= 0.98 * len(good), (sum(good), len(good))
         assert len(bad) == 0 or sum(bad) <= wrong * len(bad), (sum(bad), len(bad))
-    rows = classify_quality(docs).join(labels, "doc_id").where("toxic = 1").select("kept").collect()
-    assert sum(r.kept for r in rows) <= 0.1 * len(rows)
+
+
+def test_toxicity_on_labels_that_it_was_not_fitted_on(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    told = labels.where("pmod(xxhash64(doc_id, 9), 2) = 0")
+    rest = docs.join(labels.join(told, "doc_id", "left_anti"), "doc_id").select("doc_id", "text", F.col("toxic").alias("truth"))
+    rows = classify_quality(docs.select("doc_id", "text").join(told.select("doc_id"), "doc_id").unionByName(rest.select("doc_id", "text")), labels=told).join(rest.select("doc_id", "truth"), "doc_id").select("toxicity", "truth").collect()
+    toxic, clean = [r.toxicity >= 0.5 for r in rows if r.truth == 1], [r.toxicity >= 0.5 for r in rows if r.truth == 0]
+    assert len(toxic) > 100 and sum(toxic) >= 0.88 * len(toxic), (sum(toxic), len(toxic))
+    assert sum(clean) <= 0.01 * len(clean), (sum(clean), len(clean))
 
 
 def test_rules_run_without_python(spark):
@@ -103,5 +114,106 @@ def test_rules_run_without_python(spark):
 def test_classifier_handles_odd_rows(spark):
     rows = [(1, None), (1, None), (None, "the of and"), (3, ""), (4, "the " * 100_000)]
     frame = spark.createDataFrame([(*r, "own") for r in rows], "doc_id bigint, text string, SCORE string")
-    got = classify_quality(frame).select("doc_id", F.col("score").between(0, 1).alias("ok"), "n_abuse").collect()
-    assert len(got) == 5 and all(r.ok and r.n_abuse == 0 for r in got)
+    none = spark.createDataFrame([], "doc_id bigint, toxic int")
+    odd = spark.createDataFrame([(1, None, "x"), (None, 1, "x"), (3, 0, "x"), (4, 1, "x"), (4, 1, "x"), (9, 1, "x")], "doc_id bigint, toxic int, text string")
+    for labels in (None, none, odd):
+        got = classify_quality(frame, labels=labels).select("doc_id", F.col("score").between(0, 1).alias("ok"), "toxicity").collect()
+        assert len(got) == 5 and all(r.ok and 0 <= r.toxicity < 0.5 for r in got), labels
+
+
+def hashed(text, dims):
+    words = (text or "").encode().split()
+    grams = list(zip(words, words[1:], words[2:]))
+    own = zlib.crc32(b"\x01%d" % int(10 * (len(set(grams)) / len(grams) if grams else 1.0))) % dims
+    if not words:
+        return [(own, 2.0)]
+    shape = lambda w: re.sub(rb"[\x80-\xff]", b"n", re.sub(rb"[0-9]", b"\0", re.sub(rb"[A-Z]", b"U", re.sub(rb"[a-z]", b"l", w)))).replace(b"\0", b"0")[:12]
+    x = Counter()
+    for w in words:
+        x[zlib.crc32(w) % dims] += 1
+        x[zlib.crc32(shape(w), 1) % dims] += 1
+    return [(k, float(np.float32(5 * v / len(words)))) for k, v in sorted(x.items())] + [(own, 2.0)]
+
+
+def logistic(z):
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def brute_scores(rows, ids_in_order, dims, epochs):
+    """Scores of all rows from plain loops: votes, EM, gradient steps in the order of the ids' hashes, one row an id."""
+    prior, good, bad = em(sorted(Counter(tuple(label(t)) for t in rows.values()).items()), len(LABELLERS))
+    w, g, b, gb = Counter(), Counter(), 0.0, 1e-8
+    for _ in range(epochs):
+        for i in ids_in_order:
+            votes = label(rows[i])
+            y = logistic(math.log(prior / (1 - prior)) + sum(math.log(p / (1 - q)) if v == 1 else math.log((1 - p) / q) if v == -1 else 0 for v, p, q in zip(votes, good, bad)))
+            f = hashed(rows[i], dims)
+            e = logistic(sum(w[k] * x for k, x in f) + b) - y
+            steps = {k: e * x + 1e-4 * w[k] for k, x in f}
+            for k, d in steps.items():
+                g[k] += d * d
+                w[k] -= 0.5 * d / math.sqrt(g[k] + 1e-8)
+            gb += e * e
+            b -= 0.5 * e / math.sqrt(gb)
+    return {i: logistic(b + sum(w[k] * x for k, x in hashed(t, dims))) for i, t in rows.items()}
+
+
+def brute_toxicity(rows, truth, folds):
+    """Toxicity of all rows: log odds of words and beginnings, and a logistic curve fitted by plain gradient descent."""
+
+    def features(t):
+        return [[w, *[(k, w[:k]) for k in (4, 6) if len(w) > k]] for w in (x.strip(b".,;:!?") for x in (t or "").lower().encode().split())]
+
+    def weights(ids):
+        on, off = Counter(), Counter()
+        for i in ids:
+            (on if truth[i] else off).update({f for fs in features(rows[i]) for f in fs})
+        n, m = sum(truth[i] for i in ids), sum(not truth[i] for i in ids)
+        found = {f: math.log((k + 0.5) / (n + 1) / (off[f] + 0.5) * (m + 1)) - 1.5 * math.sqrt(1 / (k + 0.5) + 1 / (off[f] + 0.5)) for f, k in on.items() if k >= 3}
+        return {f: v for f, v in found.items() if v > 1}
+
+    def mean(t, of):
+        fs = features(t)
+        return sum(of.get(f, 0.0) for x in fs for f in x) / max(1, len(fs))
+
+    z = [(mean(rows[i], weights([j for j in truth if folds[j] != folds[i]])), truth[i]) for i in truth]
+    middle = sum(x for x, _ in z) / len(z)
+    scale = math.sqrt(sum((x - middle) ** 2 for x, _ in z) / len(z)) or 1.0
+    a = c = 0.0
+    for _ in range(30_000):
+        e = [(logistic(a * x / scale + c) - y, x / scale) for x, y in z]
+        a -= 0.02 * (sum(d * x for d, x in e) + 0.01 * a)
+        c -= 0.02 * (sum(d for d, _ in e) + 0.01 * c)
+    whole = weights(list(truth))
+    return {i: logistic(a / scale * mean(t, whole) + c) for i, t in rows.items()}
+
+
+def test_classifier_against_brute_force(spark):
+    rng = random.Random(8)
+    common = "the of and to in is that it house river table green walk slowly stone".split()
+    rows, truth = {}, {}
+    for i in range(70):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 60))]
+        toxic = i % 3 == 0
+        if toxic:
+            words += [rng.choice(["grubnak", "grubnaks", "Zelfwort!", "zelfworter"]) for _ in range(4)]
+        if i % 7 == 0:
+            words = [rng.choice(["###", "$$9", "x", "QQQQQQ"]) for _ in words] + words[-4:]
+        rng.shuffle(words)
+        rows[i] = " ".join(words)
+        if i < 45:
+            truth[i] = toxic
+    rows |= {100: None, 101: "", 102: "the the the", 103: "É" * 40}
+    frame = spark.createDataFrame(list(rows.items()), "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(t)) for i, t in truth.items()], "doc_id bigint, toxic int")
+    key = F.col("doc_id").cast("string")
+    keys = frame.select("doc_id", F.xxhash64(key).alias("h"), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(4)).alias("fold")).collect()
+    folds, first = {r.doc_id: r.fold for r in keys}, [r.doc_id for r in sorted(keys, key=lambda r: (r.h, str(r.doc_id)))][:40]
+    got = {r.doc_id: r for r in classify_quality(frame, labels=labels, dims=512, sample=40, epochs=3).collect()}
+    scores, toxicity = brute_scores(rows, first, 512, 3), brute_toxicity(rows, truth, folds)
+    assert set(got) == set(rows)
+    for i, r in got.items():
+        assert math.isclose(r.score, scores[i], rel_tol=1e-4, abs_tol=1e-5), (i, r.score, scores[i])
+        assert math.isclose(r.toxicity, toxicity[i], rel_tol=1e-3, abs_tol=1e-4), (i, r.toxicity, toxicity[i])
+        assert r.kept == (scores[i] >= 0.1 and toxicity[i] < 0.5)
+    assert any(r.toxicity >= 0.5 for r in got.values()) and any(r.toxicity < 0.5 for r in got.values())
