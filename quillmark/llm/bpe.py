@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, free_name, quoted, received, ship, worker_cache
+from .common import attach, drained, free_name, quoted, received, ship, small_batches, worker_cache
 
 #: The pre-tokenizer's pattern, a fixed value of the public byte-level format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -189,11 +189,12 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     that token, as the library does by default. Repeated rows each give a row; empty tables give none. Columns of
     ``docs`` called ids or n_tokens give way. Nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     shipped = ship(docs.sparkSession, tokenizer_file(tokenizer_path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(shipped, leaf, threads)
-        for batch in batches:
+        for batch in drained(batches):
             for part in slices(batch):
                 yield int_lists([bpe.encode(t) if (t := x.as_py()) else np.zeros(0, np.uint32) for x in part])
 
@@ -212,7 +213,7 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(shipped, 16384, 2)
-        for batch in batches:
+        for batch in drained(batches):
             for part in slices(batch):
                 yield pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else "" for x in part], pa.string())
 
@@ -223,11 +224,12 @@ def decode_ids(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") ->
 def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text", leaf: int = 16384, threads: int = 2) -> DataFrame:
     """Every row of ``docs`` with ids, n_tokens and decoded, the text that the ids decode to, as ``decode_ids`` after
     ``encode_texts`` gives them; but one worker for a task does both, and ids do not go there and back."""
+    small_batches(docs.sparkSession)
     shipped = ship(docs.sparkSession, tokenizer_file(tokenizer_path))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = opened(shipped, leaf, threads)
-        for batch in batches:
+        for batch in drained(batches):
             for part in slices(batch):
                 ids = [bpe.encode(t) if (t := x.as_py()) else np.zeros(0, np.uint32) for x in part]
                 decoded = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())

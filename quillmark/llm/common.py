@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import re
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +82,22 @@ def received(shipped):
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, for what is costly to build and the same for all tasks."""
     return sys.modules.setdefault("_quillmark_worker", types.ModuleType("_quillmark_worker")).__dict__
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python by 4 MiB, unless the session says otherwise: buffers of tasks and workers stay at the size of
+    the largest batch, and 10,000 rows of long texts make large ones. No result depends on it."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, 4 << 20)
+
+
+def drained(batches: Iterator) -> Iterator:
+    """``batches``; at their end a worker's free memory goes back to the system, since it stays idle beside others."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, free_name, quoted, received, ship, stash
+from .common import attach, drained, free_name, quoted, received, ship, small_batches, stash
 
 #: Words are runs of digits, letters a-z and bytes of non-ASCII characters, after A-Z are lower-cased.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -157,7 +157,7 @@ def shingle_counts(docs: DataFrame, text_col: str, index: WindowIndex) -> dict[t
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix, keys = received(shipped)
         total = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
-        for batch in batches:
+        for batch in drained(batches):
             for text in batch.column(0):
                 ids = ix.ids(split_words(text.as_py()))
                 for s, k in keys.items():
@@ -179,7 +179,7 @@ def find_windows(docs: DataFrame, text_col: str, index: WindowIndex):
 
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ix = received(shipped)
-        for batch in batches:
+        for batch in drained(batches):
             out = []
             for text in batch:
                 words = split_words(text.as_py())
@@ -203,6 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     texts are read whatever their length. Benchmark texts come to the driver one block of ``block_windows`` windows at a
     time (a single text of more is a block of its own); each block is two passes over ``docs``.
     """
+    small_batches(docs.sparkSession)
     texts = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col).cast("string")).where(F.col(item_text_col).isNotNull()).distinct()
 
     def ordered(items: list[tuple[str | None, str | None]], rows: DataFrame, column: str) -> WindowIndex:

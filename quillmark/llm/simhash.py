@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, quoted, stash
+from .common import attach, drained, quoted, small_batches, stash
 
 SEED = 42
 
@@ -58,7 +58,7 @@ def fingerprint(text: Column, shingle: int) -> Column:
     """Fingerprints as signed 64-bit integers."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in drained(batches):
             yield pa.array(np.array([fingerprint_of(x.as_py(), shingle) for x in batch], np.uint64).view(np.int64))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -154,7 +154,7 @@ def links_of(prints: DataFrame, radius: int, capacity: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         now, values = None, []
-        for batch in batches:
+        for batch in drained(batches):
             out = []
             for key in zip(*[batch.column(k).to_pylist() for k in ("table", "key", "sub", "fp")]):
                 if key[:3] != now:
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With ``similarity``, links are verified instead: the result is that of ``similar.similar_groups``.
     """
+    small_batches(docs.sparkSession)
     if similarity is not None:
         from .similar import similar_groups
 

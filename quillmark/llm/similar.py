@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, received, ship, stash
+from .common import drained, quoted, received, ship, stash
 from .simhash import SEED, components, links_of, print_of
 
 #: One text in so many is counted for the order, and so many common shingles at most are told apart by their counts.
@@ -64,7 +64,7 @@ def lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def shingles(text: Column, shingle: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in drained(batches):
             yield lists([shingles_of(x.as_py(), shingle) for x in batch])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
@@ -92,7 +92,7 @@ def may_be_similar(n: Column, m: Column, a: Column, b: Column, similarity: Fract
     up, down = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in drained(batches):
             yield pa.array([least_difference(x, y) * (up + down) <= (k + j) * (down - up) for k, j, x, y in zip(*[c.to_pylist() for c in batch])], pa.bool_())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
@@ -107,7 +107,7 @@ def marks(text: Column, shingle: int, similarity: Fraction, shipped) -> Column:
         from xxhash import xxh64_intdigest
 
         common, counts = received(shipped)
-        for batch in batches:
+        for batch in drained(batches):
             keys, sizes, prints, sketches, prefixes = [], [], [], [], []
             for x in batch:
                 found = shingles_of(x.as_py(), shingle)
@@ -152,7 +152,7 @@ def by_token(rows: DataFrame, of_bucket: Callable[..., Iterator[tuple[np.ndarray
 
         def buckets() -> Iterator[tuple[np.ndarray, ...]]:
             tail = None
-            for batch in batches:
+            for batch in drained(batches):
                 held = [np.asarray(batch.column(k).to_numpy(), np.int64) for k in columns]
                 if not len(held[0]):
                     continue
