@@ -1,4 +1,4 @@
-"""Candidate records: rule-made negatives, ordered deduplication across sources, counts. All of it within the row."""
+"""Candidate records: rule-made negatives, ordered deduplication across sources, counts."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.scoring import contains_any
 from ..functions.text import folded, let, prediction_clean, without_terms
+from .kinds import once_each
 
 CANDIDATE = "struct<source:string,comment:string,role_hint:string,perturbation_type:string,decode_strategy:string,model_stage:string,temperature:double>"
 FIELDS = {"source": "string", "comment": "string", "role_hint": "string", "perturbation_type": "string", "decode_strategy": "string", "model_stage": "string", "temperature": "double"}
@@ -29,11 +30,20 @@ def first_of_each(items: Column, key) -> Column:
     return let(items, lambda a: let(F.transform(a, key), lambda keys: F.filter(a, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
+def fact_bits(function: Column) -> Column:
+    """Per kind of negative's fact, whether the function shows it; all that negatives take from a function."""
+    return let(F.lower(F.coalesce(function, F.lit(""))), lambda code: F.array(*[contains_any(code, terms) for terms in rules.GENERATOR_FACTS.values()]))
+
+
 def hard_negatives(function: Column, reference: Column, most: int = 4) -> Column:
     """Plausible but unfaithful comments, as candidates: rules in order, cleaned, first of equal ones, then the first
     ``most``. A rule whose text is blank or a repeat gives nothing, but one cut off later has had its turn."""
+    return negatives_of(fact_bits(function), reference, most)
+
+
+def negatives_of(found: Column, reference: Column, most: int = 4) -> Column:
+    """The hard negatives of functions with these fact bits."""
     names = list(rules.GENERATOR_FACTS)
-    found = let(F.lower(F.coalesce(function, F.lit(""))), lambda code: F.array(*[contains_any(code, rules.GENERATOR_FACTS[n]) for n in names]))
 
     def build(r: Column) -> Column:
         ref, low = r["ref"], F.lower(r["ref"])
@@ -75,31 +85,49 @@ class GenerationPlan:
         return out + [(f"sft_temp_{t}", "sft", "sampling", t, n) for t, n in self.sampling if n > 0]
 
 
-def model_candidates(outputs: Column, plan: GenerationPlan) -> Column:
-    """Candidates from a map of pass name to its outputs (array<string>), in the plan's order."""
+def asked_for(outputs: Column, plan: GenerationPlan) -> Column:
+    """The outputs that the plan asks for, by pass, from a map of pass name to outputs (array<string>)."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.array(*[F.slice(F.coalesce(F.try_element_at(outputs, F.lit(source)), none), 1, n) for source, *_, n in plan.passes()]).cast("array<array<string>>")
+
+
+def model_candidates(asked: Column, plan: GenerationPlan) -> Column:
+    """Candidates from the outputs by pass, in the plan's order."""
     parts = []
-    for source, stage, strategy, temperature, n in plan.passes():
-        got = F.slice(F.coalesce(F.try_element_at(outputs, F.lit(source)), F.expr("cast(array() as array<string>)")), 1, n)
+    for k, (source, stage, strategy, temperature, _) in enumerate(plan.passes()):
         name = (lambda i, s=source: F.concat(F.lit(f"{s}_"), (i + 1).cast("string"))) if strategy == "sampling" else (lambda i, s=source: F.lit(s))
         made = lambda text, i: candidate(source=name(i), comment=text, role_hint=F.lit("model_candidate"), decode_strategy=F.lit(strategy), model_stage=F.lit(stage), temperature=F.lit(temperature))
-        parts.append(F.transform(got, made))
+        parts.append(F.transform(F.get(asked, k), made))
     return F.concat(*parts) if parts else no_candidates()
 
 
+def with_negatives(pool: DataFrame, most: int = 4) -> DataFrame:
+    """Pool rows (function, reference) with ``negatives``, made once for each reference and combination of facts."""
+    held = pool.withColumn("_found", fact_bits(F.col("function")))
+    return once_each(held, ["reference", "_found"], lambda kinds: kinds.withColumn("negatives", negatives_of(F.col("_found"), F.col("reference"), most))).drop("_found")
+
+
 def build_candidates(pool: DataFrame, plan: GenerationPlan = GenerationPlan()) -> DataFrame:
     """Pool rows (id, instruction, function, reference and, if models ran, outputs: map of pass to texts) with
     candidates, num_candidates, source_counts and role_counts.
 
     The reference comes first, then negatives, then model outputs in the plan's order. Texts are cleaned, blank ones
-    go, and of those equal when folded the first stays. Nothing is shuffled.
+    go, and of those equal when folded the first stays. Records that have the same reference, outputs and facts of
+    their functions have the same candidates, which are made once.
     """
-    reference = F.array(candidate(source=F.lit("reference"), comment=F.col("reference"), role_hint=F.lit("positive_anchor")))
-    parts = [reference, hard_negatives(F.col("function"), F.col("reference"), plan.negatives)]
+    held = pool.withColumn("_found", fact_bits(F.col("function")))
     if "outputs" in pool.columns:
-        parts.append(model_candidates(F.col("outputs"), plan))
-    cleaned = F.filter(F.transform(F.concat(*parts), lambda x: x.withField("comment", prediction_clean(x["comment"]))), lambda x: x["comment"] != "")
-    kept = pool.withColumn("candidates", first_of_each(cleaned, lambda x: folded(x["comment"]))).drop("outputs")
-    return kept.withColumns({"num_candidates": F.size("candidates"), "source_counts": frequencies(F.transform("candidates", lambda c: c["source"])), "role_counts": frequencies(F.transform("candidates", lambda c: c["role_hint"]))})
+        held = held.withColumn("_asked", asked_for(F.col("outputs"), plan)).drop("outputs")
+
+    def derive(kinds: DataFrame) -> DataFrame:
+        parts = [F.array(candidate(source=F.lit("reference"), comment=F.col("reference"), role_hint=F.lit("positive_anchor"))), negatives_of(F.col("_found"), F.col("reference"), plan.negatives)]
+        if "_asked" in kinds.columns:
+            parts.append(model_candidates(F.col("_asked"), plan))
+        cleaned = F.filter(F.transform(F.concat(*parts), lambda x: x.withField("comment", prediction_clean(x["comment"]))), lambda x: x["comment"] != "")
+        kept = kinds.withColumn("candidates", first_of_each(cleaned, lambda x: folded(x["comment"])))
+        return kept.withColumns({"num_candidates": F.size("candidates"), "source_counts": frequencies(F.transform("candidates", lambda c: c["source"])), "role_counts": frequencies(F.transform("candidates", lambda c: c["role_hint"]))})
+
+    return once_each(held, [c for c in ("reference", "_found", "_asked") if c in held.columns], derive).drop("_found", "_asked")
 
 
 def frequencies(values: Column) -> Column:

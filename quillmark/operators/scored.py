@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions.text import exploded, normalized
+from .kinds import once_each
 
 
 def explode_candidates(records: DataFrame, *carry: str) -> DataFrame:
@@ -15,42 +16,54 @@ def explode_candidates(records: DataFrame, *carry: str) -> DataFrame:
     return rows.where(normalized(F.col("candidate.comment")) != "")
 
 
-def score_record(candidates: Column, side: Column, sem: Column, facts: Column, evidence: Column, weights: S.Weights = S.Weights()) -> Column:
+def judged(facts: Column, evidence: Column, comment: Column) -> Column:
+    """What of a score depends on function and comment alone, as a struct."""
+    own = F.struct(S.style(comment).alias("style"), S.covered_facts(facts, comment).alias("covered"), S.claim_flags(evidence, comment).alias("flags"))
+    made = lambda o: F.struct(o["style"]["f_style"].alias("f_style"), o["style"]["style_flags"].alias("style_flags"), o["covered"].alias("covered"), o["flags"].alias("flags"), S.coverage(facts, o["covered"]).alias("f_sec"), S.claim_penalty(o["flags"]).alias("penalty"), (normalized(comment) != "").alias("shown"))
+    return S.let(own, made)
+
+
+def score_record(candidates: Column, side: Column, sem: Column, facts: Column, judgements: Column, weights: S.Weights = S.Weights()) -> Column:
     """The scored candidates of a record, best first; ties keep their order.
 
-    ``side`` and ``sem`` are arrays of raw similarities by place. Blank candidates are left out; a similarity that is
-    missing counts as 0. What depends on the record alone is bound before the candidates are gone through; named only
-    within a lambda, the optimizer would move its computation in there, once a candidate.
+    ``side`` and ``sem`` are arrays of raw similarities by place, ``judgements`` those of ``judged``. Blank candidates
+    are left out; a similarity that is missing counts as 0. Scores are found and sorted as small structs, since each
+    transform copies what it makes; candidates are put together last, by place.
     """
-    record = F.struct(candidates.alias("candidates"), side.alias("side"), sem.alias("sem"), facts.alias("facts"), evidence.alias("evidence"))
 
-    def all_of(r: Column) -> Column:
-        def scored(c: Column, i: Column) -> Column:
-            covered = S.covered_facts(r["facts"], c["comment"])
-            flags = S.claim_flags(r["evidence"], c["comment"])
-            own = F.struct(S.style(c["comment"]).alias("style"), covered.alias("covered"), flags.alias("flags"), F.coalesce(F.get(r["side"], i), F.lit(0.0)).alias("side"), F.coalesce(F.get(r["sem"], i), F.lit(0.0)).alias("sem"))
-            return S.let(own, lambda o: finish(c, i, o, r["facts"]))
+    def small(r: Column) -> Column:
+        def near(j: Column, i: Column) -> Column:
+            raw = F.struct(F.coalesce(F.get(r["side"], i), F.lit(0.0)).alias("side"), F.coalesce(F.get(r["sem"], i), F.lit(0.0)).alias("sem"))
+            return F.when(j["shown"], S.let(raw, lambda o: ordered(j, i, o)))
 
-        return F.array_sort(F.filter(F.transform(r["candidates"], scored), lambda x: normalized(x["comment"]) != ""))
+        return F.transform(r["judged"], near)
 
-    def finish(c: Column, i: Column, o: Column, own_facts: Column) -> Column:
-        f_code, f_sem, f_sec, penalty = S.clamp(o["side"]), S.clamp(o["sem"]), S.coverage(own_facts, o["covered"]), S.claim_penalty(o["flags"])
-        score = S.final_score(f_code, f_sem, f_sec, o["style"]["f_style"], penalty, weights)
-        plain = {"side_raw": o["side"], "f_code": f_code, "sentence_sim_raw": o["sem"], "f_sem": f_sem, "f_sec": f_sec, "hallucination_penalty": penalty, "f_style": o["style"]["f_style"], "num_security_facts": F.size(own_facts), "security_facts": own_facts, "covered_security_facts": o["covered"], "hallucination_flags": o["flags"], "style_flags": o["style"]["style_flags"]}
-        fields = [c[k].alias(k) for k in ("source", "comment", "role_hint", "perturbation_type", "decode_strategy", "model_stage", "temperature")]
+    def ordered(j: Column, i: Column, o: Column) -> Column:
+        score = S.final_score(S.clamp(o["side"]), S.clamp(o["sem"]), j["f_sec"], j["f_style"], j["penalty"], weights)
         # structs compare field by field, so they sort by score, then by place
-        return F.struct((-score).alias("order"), i.alias("pos"), score.alias("score"), *fields, *[v.alias(k) for k, v in plain.items()])
+        return F.struct((-score).alias("order"), i.alias("pos"), o["side"].alias("side"), o["sem"].alias("sem"))
+
+    def whole(x: Column) -> Column:
+        c, j = F.get(candidates, x["pos"]), F.get(judgements, x["pos"])
+        plain = {"side_raw": x["side"], "f_code": S.clamp(x["side"]), "sentence_sim_raw": x["sem"], "f_sem": S.clamp(x["sem"]), "f_sec": j["f_sec"], "hallucination_penalty": j["penalty"], "f_style": j["f_style"], "num_security_facts": F.size(facts), "security_facts": facts, "covered_security_facts": j["covered"], "hallucination_flags": j["flags"], "style_flags": j["style_flags"]}
+        fields = [c[k].alias(k) for k in ("source", "comment", "role_hint", "perturbation_type", "decode_strategy", "model_stage", "temperature")]
+        return F.struct(x["order"].alias("order"), x["pos"].alias("pos"), (-x["order"]).alias("score"), *fields, *[v.alias(k) for k, v in plain.items()])
 
-    return S.let(record, all_of)
+    record = F.struct(side.alias("side"), sem.alias("sem"), judgements.alias("judged"))
+    return F.transform(F.sort_array(F.filter(S.let(record, small), lambda x: x.isNotNull())), whole)
 
 
 def score_records(records: DataFrame, side: Column, sem: Column, weights: S.Weights = S.Weights()) -> DataFrame:
     """Candidate records with their candidates scored and sorted, best_candidate, worst_candidate and score_range.
 
-    Nothing is shuffled. A record without scored candidates has null best and worst, and a range of 0.
+    What does not depend on the similarities is found once for each combination of comments, facts and evidence. A
+    record without scored candidates has null best and worst, and a range of 0.
     """
-    held = records.withColumns({"facts": S.coverage_facts(F.col("function")), "evidence": S.claim_evidence(F.col("function")), "side": side, "sem": sem})
-    held = held.withColumn("candidates", score_record(F.col("candidates"), F.col("side"), F.col("sem"), F.col("facts"), F.col("evidence"), weights)).drop("facts", "evidence", "side", "sem")
+    held = records.withColumns({"facts": S.coverage_facts(F.col("function")), "evidence": S.claim_evidence(F.col("function")), "_comments": F.transform("candidates", lambda c: c["comment"])})
+    one = lambda c: judged(F.col("facts"), F.col("evidence"), c)
+    held = once_each(held, ["facts", "evidence", "_comments"], lambda kinds: kinds.withColumn("_judged", F.transform("_comments", one)))
+    held = held.withColumns({"side": side, "sem": sem})
+    held = held.withColumn("candidates", score_record(F.col("candidates"), F.col("side"), F.col("sem"), F.col("facts"), F.col("_judged"), weights)).drop("facts", "evidence", "side", "sem", "_comments", "_judged")
     best, worst = F.try_element_at("candidates", F.lit(1)), F.try_element_at("candidates", F.lit(-1))
     gap = F.coalesce(best["score"] - worst["score"], F.lit(0.0))
     return held.withColumns({"best_candidate": best, "worst_candidate": worst, "score_range": gap})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -16,3 +16,10 @@ def new_path(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/quillmark/{label}-{uuid.uuid4().hex}"
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` into the shared folder and reads it back: computed once, and its size is known to later plans."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
