@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, let, words
+from ..plans.staging import stash
 
 
 def tokens(text: Column) -> Column:
@@ -86,16 +87,20 @@ def exact_meteor(rows: DataFrame) -> DataFrame:
 def cider(rows: DataFrame, most: int = 4) -> DataFrame:
     """Per row CIDEr with one reference: the mean over n of ten times the cosine of tf-idf vectors, where
     idf = ln(rows / rows whose reference has the n-gram, 1 at least) and tf is the share of the text's n-grams."""
-    both = rows.select("id", tokens(F.col("hypothesis")).alias("h"), tokens(F.col("reference")).alias("r"))
+    held = rows.groupBy("hypothesis", "reference").agg(F.count(F.lit(1)).alias("times"))
+    # equal pairs of texts are compared once, under a number of their own; each counts as often as it occurs
+    pairs = stash(held.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    both = pairs.repartition("pair").select("pair", "times", tokens(F.col("hypothesis")).alias("h"), tokens(F.col("reference")).alias("r"))
     each = lambda side: F.flatten(F.array(*[F.transform(ngrams(F.col(side), n), numbered(n)) for n in range(1, most + 1)]))
-    long = both.select("id", F.explode(F.concat(F.transform(each("h"), sided("h")), F.transform(each("r"), sided("r")))).alias("x")).select("id", "x.*")
-    tf = long.groupBy("id", "n", "g").agg(F.count_if(F.col("side") == "h").alias("h"), F.count_if(F.col("side") == "r").alias("r"))
-    df = tf.where(F.col("r") > 0).groupBy("n", "g").agg(F.count(F.lit(1)).alias("df"))
-    size = rows.agg(F.count(F.lit(1)).alias("rows"))
+    long = both.select("pair", "times", F.explode(F.concat(F.transform(each("h"), sided("h")), F.transform(each("r"), sided("r")))).alias("x")).select("pair", "times", "x.*")
+    tf = long.groupBy("pair", "times", "n", "g").agg(F.count_if(F.col("side") == "h").alias("h"), F.count_if(F.col("side") == "r").alias("r"))
+    df = tf.where(F.col("r") > 0).groupBy("n", "g").agg(F.sum("times").alias("df"))
+    size = pairs.agg(F.sum("times").alias("rows"))
     weighed = tf.join(df, ["n", "g"], "left").join(F.broadcast(size)).withColumn("idf", F.ln(F.col("rows") / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))))
-    sums = weighed.groupBy("id", "n").agg(F.sum(F.col("h") * F.col("r") * F.col("idf") * F.col("idf")).alias("hr"), F.sum(F.pow(F.col("h") * F.col("idf"), 2)).alias("hh"), F.sum(F.pow(F.col("r") * F.col("idf"), 2)).alias("rr"))
-    per = sums.select("id", F.coalesce(F.try_divide(F.col("hr"), F.sqrt("hh") * F.sqrt("rr")), F.lit(0.0)).alias("s")).groupBy("id").agg((10.0 * F.sum("s") / most).alias("cider"))
-    return rows.select("id").join(per, "id", "left").select("id", F.coalesce("cider", F.lit(0.0)).alias("cider"))
+    sums = weighed.groupBy("pair", "n").agg(F.sum(F.col("h") * F.col("r") * F.col("idf") * F.col("idf")).alias("hr"), F.sum(F.pow(F.col("h") * F.col("idf"), 2)).alias("hh"), F.sum(F.pow(F.col("r") * F.col("idf"), 2)).alias("rr"))
+    per = sums.select("pair", F.coalesce(F.try_divide(F.col("hr"), F.sqrt("hh") * F.sqrt("rr")), F.lit(0.0)).alias("s")).groupBy("pair").agg((10.0 * F.sum("s") / most).alias("cider"))
+    made = stash(pairs.join(per, "pair", "left").select(F.col("hypothesis").alias("_h"), F.col("reference").alias("_r"), F.coalesce("cider", F.lit(0.0)).alias("cider")), "cider")
+    return rows.join(made, F.col("hypothesis").eqNullSafe(F.col("_h")) & F.col("reference").eqNullSafe(F.col("_r")), "left").select("id", "cider")
 
 
 def numbered(n: int):

@@ -45,6 +45,7 @@ def test_rows_are_derived_once_a_combination(spark):
 #: Queries whose rules and cleaning are not gone through once a row.
 ONCE = [
     "scored_records",
+    "cider",
 ]
 
 
