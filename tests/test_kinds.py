@@ -46,6 +46,7 @@ def test_rows_are_derived_once_a_combination(spark):
 ONCE = [
     "scored_records",
     "cider",
+    "scored_records_by_source",
 ]
 
 
