@@ -47,6 +47,7 @@ ONCE = [
     "scored_records",
     "cider",
     "scored_records_by_source",
+    "violated_invariants",
 ]
 
 
