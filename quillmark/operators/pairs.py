@@ -1,4 +1,4 @@
-"""Preference pairs: ranking and constrained selection within each record, without a shuffle."""
+"""Preference pairs: ranking and constrained selection within each record."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.text import PAIRING_SYSTEM_PROMPT, display_clean, exploded, let, pair_prompt
 from .candidates import first_of_each
+from .kinds import once_each
 
 
 @dataclass(frozen=True)
@@ -25,15 +26,40 @@ class PairRules:
     reach: int = 5
 
 
-def usable(candidates: Column) -> Column:
-    """Scored, valid candidates, the first of those that are displayed alike, with what selection needs of each."""
+def displayed(comments: Column) -> Column:
+    """What selection needs of each comment, as a map by comment (null as blank): text, key, length penalty, and whether it
+    is valid."""
 
-    def item(c: Column, i: Column) -> Column:
-        made = lambda text: F.struct(i.alias("pos"), text.alias("text"), F.lower(text).alias("key"), (c["score"] - S.display_penalty(text)).alias("adj"), S.is_hard_negative(c["source"], c["role_hint"]).alias("hard"), S.is_valid_display(text).alias("valid"), c.alias("c"))
-        return let(display_clean(c["comment"]), made)
+    def made(comment: Column) -> Column:
+        return let(display_clean(comment), lambda text: F.struct(text.alias("text"), F.lower(text).alias("key"), S.display_penalty(text).alias("less"), (~S.has_artifact(comment) & S.is_valid_display(text)).alias("valid")))
 
-    open_ones = F.filter(candidates, lambda c: c["score"].isNotNull() & ~S.has_artifact(c["comment"]))
-    return first_of_each(F.filter(F.transform(open_ones, item), lambda x: x["valid"]), lambda x: x["key"])
+    return F.map_from_arrays(comments, F.transform(comments, made))
+
+
+def told(comment: Column) -> Column:
+    return F.coalesce(comment, F.lit(""))
+
+
+def with_displayed(records: DataFrame) -> DataFrame:
+    """Records with ``displayed`` of the comments of their candidates as ``_displayed``, made once for each set of
+    comments. Best done before scoring, which carries it along."""
+    held = records.withColumn("_texts", F.array_sort(F.array_distinct(F.transform("candidates", lambda c: told(c["comment"])))))
+    return once_each(held, ["_texts"], lambda kinds: kinds.withColumn("_displayed", displayed(F.col("_texts")))).drop("_texts")
+
+
+def usable(candidates: Column, shown: Column) -> Column:
+    """Scored, valid candidates, the first of those that are displayed alike, with what selection needs of each; ``shown``
+    is the map of ``displayed``, ``pos`` the place among ``candidates``."""
+    needed = ("source", "role_hint", "score", "hallucination_penalty", "f_style")
+
+    def all_of(r: Column) -> Column:
+        def item(c: Column, i: Column) -> Column:
+            made = lambda d: F.when(c["score"].isNotNull() & d["valid"], F.struct(i.alias("pos"), d["text"].alias("text"), d["key"].alias("key"), (c["score"] - d["less"]).alias("adj"), S.is_hard_negative(c["source"], c["role_hint"]).alias("hard"), F.struct(*[c[k].alias(k) for k in needed]).alias("c")))
+            return let(F.try_element_at(r["shown"], told(c["comment"])), made)
+
+        return first_of_each(F.filter(F.transform(r["candidates"], item), lambda x: x.isNotNull()), lambda x: x["key"])
+
+    return let(F.struct(candidates.alias("candidates"), shown.alias("shown")), all_of)
 
 
 def ranked(items: Column, falling: bool) -> Column:
@@ -42,7 +68,7 @@ def ranked(items: Column, falling: bool) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
 
 
-def choose(candidates: Column, p: PairRules) -> Column:
+def choose(candidates: Column, shown: Column, p: PairRules) -> Column:
     """The pairs of one record, as structs of c (chosen), r (rejected) and type.
 
     Phase 1 pairs the best chosen with hard negatives, phase 2 with low model candidates, phase 3 the second best with
@@ -80,7 +106,7 @@ def choose(candidates: Column, p: PairRules) -> Column:
         both = F.struct(ranked(F.filter(items, can_win), True).alias("chosen"), ranked(F.filter(items, can_lose), False).alias("rejected"), F.size(items).alias("n"))
         return let(both, lambda b: F.when((b["n"] >= 2) & (F.size(b["chosen"]) > 0) & (F.size(b["rejected"]) > 0), select(b["chosen"], b["rejected"])))
 
-    return F.when(F.size(candidates) >= 2, let(usable(candidates), pools))
+    return F.when(F.size(candidates) >= 2, let(usable(candidates, shown), pools))
 
 
 SIDE = {"source": "source", "role_hint": "role_hint", "score": "score", "f_code": "f_code", "f_sem": "f_sem", "f_sec": "f_sec", "f_style": "f_style", "hallucination_penalty": "hallucination_penalty", "security_facts": "covered_security_facts", "hallucination_flags": "hallucination_flags"}
@@ -88,7 +114,8 @@ SIDE = {"source": "source", "role_hint": "role_hint", "score": "score", "f_code"
 
 def build_pairs(scored: DataFrame, p: PairRules = PairRules()) -> DataFrame:
     """Flat preference pairs of scored records (id, instruction, function, reference, candidates)."""
-    rows = exploded(scored, ["id", "instruction", "function", "reference"], choose(F.col("candidates"), p), "pair_index", "pair")
+    held = scored if "_displayed" in scored.columns else with_displayed(scored)
+    rows = exploded(held, ["id", "instruction", "function", "reference", "candidates"], choose(F.col("candidates"), F.col("_displayed"), p), "pair_index", "pair")
     flat = [
         F.concat(F.col("id").cast("string"), F.lit("_pair_"), F.col("pair_index").cast("string")).alias("id"),
         F.col("id").alias("source_id"),
@@ -100,7 +127,8 @@ def build_pairs(scored: DataFrame, p: PairRules = PairRules()) -> DataFrame:
         F.col("pair.r.text").alias("rejected"),
     ]
     for name, key in (("chosen", "c"), ("rejected", "r")):
-        flat += [F.col(f"pair.{key}.c.{field}").alias(f"{name}_{out}") for out, field in SIDE.items()]
+        whole = F.get("candidates", F.col(f"pair.{key}.pos"))
+        flat += [whole[field].alias(f"{name}_{out}") for out, field in SIDE.items()]
         flat.append(F.col(f"pair.{key}.adj").alias(f"{name}_adjusted_score"))
     flat += [(F.col("pair.c.adj") - F.col("pair.r.adj")).alias("margin"), F.col("pair.type").alias("pair_type")]
     return rows.select(*flat)

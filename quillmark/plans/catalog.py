@@ -320,13 +320,14 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("k", "num_candidates", count("role_counts", "negative_only").alias("n_negative"), count("role_counts", "model_candidate").alias("n_model"), count("source_counts", "hard_negative_action_reverse").alias("n_reverse"), F.size("source_counts").alias("n_sources"))
 
 
-def scored_corpus(spark: SparkSession, sf_dir: str, flat: bool = False) -> DataFrame:
+def scored_corpus(spark: SparkSession, sf_dir: str, flat: bool = False, shown: bool = False) -> DataFrame:
     c, k = F.col("candidates"), F.col("k")
     if flat:
         side, sem = corpus.flat_similarity(c, k, 37, 53), corpus.flat_similarity(c, k, 41, 59)
     else:
         side, sem = corpus.source_similarity(c, k, 37, 53, (0.9, 0.35, 0.75), False), corpus.source_similarity(c, k, 41, 59, (1.0, 0.3, 0.8), True)
-    return scored.score_records(records(spark, sf_dir), side, sem)
+    made = records(spark, sf_dir)
+    return scored.score_records(pairs.with_displayed(made) if shown else made, side, sem)
 
 
 def _scored_sql(kind: str) -> str:
@@ -357,7 +358,7 @@ def pool_rows(spark: SparkSession, sf_dir: str, chosen: bool) -> DataFrame:
     items = F.col("items")
     win = F.filter(items, lambda x: ~x["hard"] & (x["c"]["score"] >= rule.min_chosen_score) & (x["c"]["hallucination_penalty"] <= 0) & (x["c"]["f_style"] >= rule.min_chosen_style))
     lose = F.filter(items, lambda x: ~S.is_reference(x["c"]["source"]) & ~S.is_anchor(x["c"]["role_hint"]) & (x["c"]["score"] <= rule.max_rejected_score))
-    held = scored_corpus(spark, sf_dir).select("k", pairs.usable(F.col("candidates")).alias("items"))
+    held = scored_corpus(spark, sf_dir, shown=True).select("k", pairs.usable(F.col("candidates"), F.col("_displayed")).alias("items"))
     rows = T.exploded(held, ["k"], pairs.ranked(win, True) if chosen else pairs.ranked(lose, False), "at", "x")
     return rows.select("k", (F.col("at") + 1).alias("rank"), "x.text", F.col("x.c.source").alias("source"), F.round("x.adj", 9).alias("adjusted"))
 
@@ -377,7 +378,7 @@ def rejected_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"md5({sql.q(T.POOL_INSTRUCTION)} || chr(10) || chr(10) || 'Solidity function:' || chr(10) || function || chr(10) || chr(10) || {sql.q(T.PAIRING_TAIL)}) AS prompt_md5 FROM pairs JOIN {sql.POOL} USING (k)"
 )
 def dpo_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs.build_pairs(scored_corpus(spark, sf_dir))
+    rows = pairs.build_pairs(scored_corpus(spark, sf_dir, shown=True))
     rounded = [F.round(c, 9).alias(c) for c in ("chosen_score", "rejected_score", "margin")]
     return rows.select("id", "source_id", "chosen", "rejected", "chosen_source", "rejected_source", "chosen_role_hint", "rejected_role_hint", *rounded, "pair_type", F.md5("prompt").alias("prompt_md5"))
 
@@ -394,7 +395,7 @@ SELECT (SELECT count(*) FROM orders) AS num_records, (SELECT count(*) FROM pairs
   (SELECT count(*) FILTER (starts_with(chosen_source, 'hard_negative') OR chosen_role_hint = 'negative_only') FROM pairs) AS invalid_chosen_hard_negative, (SELECT count(*) FILTER (rejected_source = 'reference' OR rejected_role_hint = 'positive_anchor') FROM pairs) AS invalid_rejected_reference,
   {", ".join(f"(SELECT string_agg(value || '=' || n, ',' ORDER BY value) FROM d WHERE kind = '{k}') AS {k}_distribution" for k in ("pair_type", "chosen_source", "rejected_source", "rejected_role"))}""")
 def pair_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = pairs.pair_summary(corpus.pool(spark, sf_dir), pairs.build_pairs(scored_corpus(spark, sf_dir)))
+    row = pairs.pair_summary(corpus.pool(spark, sf_dir), pairs.build_pairs(scored_corpus(spark, sf_dir, shown=True)))
     shown = [shown_map(F.col(f"{k}_distribution")).alias(f"{k}_distribution") for k in ("pair_type", "chosen_source", "rejected_source", "rejected_role")]
     return row.select("num_records", "num_dpo_pairs", "skipped_records_without_pairs", F.round("avg_margin", 7).alias("avg_margin"), F.round("max_margin", 9).alias("max_margin"), F.round("min_margin_actual", 9).alias("min_margin_actual"), "invalid_chosen_hard_negative", "invalid_rejected_reference", *shown)
 

@@ -48,6 +48,7 @@ ONCE = [
     "cider",
     "scored_records_by_source",
     "violated_invariants",
+    "pair_summary",
 ]
 
 
