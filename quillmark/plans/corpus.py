@@ -6,6 +6,8 @@ same rows. The outputs stand in for language models, the similarities for senten
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ OUTPUTS = (
     "Overflow safe update of the total using only internal calls.",
     '"Checks the amount and then sends tokens to the recipient."',
 )
+#: Samples in a task.
+PORTION = 20_000
 #: Passes of the stand-in models: source and stage number.
 PASSES = (("base_zero_shot", 0), ("sft_greedy", 1), ("sft_temp_0.3", 2))
 
@@ -69,8 +73,10 @@ def model_output(k: Column, stage: int) -> Column:
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sample per order: id, instruction, function, reference, outputs and the key k."""
     k = F.col("o_orderkey")
-    # a key makes a sample that costs far more than its eight bytes: keys are spread before texts are made from them
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k).repartition(spark.sparkContext.defaultParallelism)
+    # a key makes a sample that costs far more than its eight bytes: keys are spread before texts are made from them, over
+    # as many tasks as the input asks for
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k)
+    rows = keys.repartition(max(spark.sparkContext.defaultParallelism, math.ceil(keys.count() / PORTION)))
     outputs = F.create_map(*[x for source, stage in PASSES for x in (F.lit(source), F.array(model_output(k, stage)))])
     return rows.select(k.cast("string").alias("id"), F.lit(POOL_INSTRUCTION).alias("instruction"), function_text(k).alias("function"), pick(REFERENCES, k % 8).alias("reference"), outputs.alias("outputs"), k.alias("k"))
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 from quillmark.operators.kinds import once_each
-from quillmark.plans import catalog
+from quillmark.plans import catalog, corpus
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +42,11 @@ def test_rows_are_derived_once_a_combination(spark):
     assert seen == [60, 6, 4] and once_each(rows.where("false"), ["a", "b"], derive).count() == 0
 
 
+def test_tasks_grow_with_the_input(spark, tmp_path):
+    spark.range(5 * corpus.PORTION + 1).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert corpus.pool(spark, str(tmp_path)).rdd.getNumPartitions() == 6
+
+
 #: Queries whose rules and cleaning are not gone through once a row.
 ONCE = [
     "scored_records",
@@ -49,6 +54,7 @@ ONCE = [
     "scored_records_by_source",
     "violated_invariants",
     "pair_summary",
+    "candidate_union_dedup",
 ]
 
 
