@@ -55,6 +55,7 @@ ONCE = [
     "violated_invariants",
     "pair_summary",
     "candidate_union_dedup",
+    "candidate_counts",
 ]
 
 
