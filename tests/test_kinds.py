@@ -56,6 +56,7 @@ ONCE = [
     "pair_summary",
     "candidate_union_dedup",
     "candidate_counts",
+    "chosen_pool",
 ]
 
 
