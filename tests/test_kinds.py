@@ -57,6 +57,7 @@ ONCE = [
     "candidate_union_dedup",
     "candidate_counts",
     "chosen_pool",
+    "dpo_pairs",
 ]
 
 
