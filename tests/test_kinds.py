@@ -58,6 +58,7 @@ ONCE = [
     "candidate_counts",
     "chosen_pool",
     "dpo_pairs",
+    "rejected_pool",
 ]
 
 
