@@ -10,6 +10,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import candidates as C
 from ..operators import encode, models, pairs, preference, resume, scored, text_metrics, vectors
+from ..operators.kinds import once_each
 from ..sources import jsonl, tables
 from . import corpus, sql, staging
 
@@ -69,10 +70,9 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT id, english, artifact, return_artifact, generic, valid, length_penalty, CAST(len(w) AS INTEGER) AS n_words FROM {sql.validity(COMMENTS_SQL)}")
 def comment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col("comment")
-    rows = comments(spark, sf_dir).withColumn("shown", T.display_clean(c))
-    shown = F.col("shown")
-    return rows.select("id", S.probably_english(shown).alias("english"), S.has_artifact(c).alias("artifact"), S.has_return_artifact(shown).alias("return_artifact"), S.is_too_generic(shown).alias("generic"), (~S.has_artifact(c) & S.is_valid_display(shown)).alias("valid"), S.display_penalty(shown).alias("length_penalty"), T.word_count(shown).alias("n_words"))
+    c, shown = F.col("comment"), F.col("shown")
+    flags = {"english": S.probably_english(shown), "artifact": S.has_artifact(c), "return_artifact": S.has_return_artifact(shown), "generic": S.is_too_generic(shown), "valid": ~S.has_artifact(c) & S.is_valid_display(shown), "length_penalty": S.display_penalty(shown), "n_words": T.word_count(shown)}
+    return once_each(comments(spark, sf_dir), ["comment"], lambda kinds: kinds.withColumn("shown", T.display_clean(c)).withColumns(flags)).select("id", *flags)
 
 
 # --- sources ----------------------------------------------------------------------------------------------------------

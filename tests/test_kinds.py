@@ -59,6 +59,7 @@ ONCE = [
     "chosen_pool",
     "dpo_pairs",
     "rejected_pool",
+    "comment_validity",
 ]
 
 
