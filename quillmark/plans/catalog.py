@@ -300,7 +300,7 @@ PLAN = C.GenerationPlan(sampling=((0.3, 1),))
 
 @query(f"SELECT k, CAST(place - 1 AS INTEGER) AS pos, source, comment, kind AS perturbation_type FROM {sql.negatives()}")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.exploded(corpus.pool(spark, sf_dir), ["k"], C.hard_negatives(F.col("function"), F.col("reference")), "pos", "c")
+    rows = T.exploded(C.with_negatives(corpus.pool(spark, sf_dir)), ["k"], F.col("negatives"), "pos", "c")
     return rows.select("k", "pos", "c.source", "c.comment", "c.perturbation_type")
 
 

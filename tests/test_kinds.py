@@ -60,6 +60,7 @@ ONCE = [
     "dpo_pairs",
     "rejected_pool",
     "comment_validity",
+    "hard_negatives",
 ]
 
 
