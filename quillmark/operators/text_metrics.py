@@ -38,9 +38,10 @@ def bleu(rows: DataFrame, most: int = 4) -> DataFrame:
     """Corpus BLEU-1..4: BP * exp(mean of ln p_n), p_n = clipped matches / n-grams over the corpus,
     BP = min(1, exp(1 - reference words / hypothesis words)). 0 where a p_n is 0."""
     h, r = tokens(F.col("hypothesis")), tokens(F.col("reference"))
-    held = rows.select(h.alias("h"), r.alias("r"))
-    per = held.select(F.size("h").alias("h_len"), F.size("r").alias("r_len"), *[x for n in range(1, most + 1) for x in (clipped(ngrams(F.col("h"), n), ngrams(F.col("r"), n)).alias(f"m{n}"), F.greatest(F.size("h") - (n - 1), F.lit(0)).alias(f"t{n}"))])
-    total = per.agg(*[F.sum(c).alias(c) for c in per.columns])
+    # equal pairs of texts are compared once
+    held = rows.groupBy("hypothesis", "reference").agg(F.count(F.lit(1)).alias("times")).select(h.alias("h"), r.alias("r"), "times")
+    per = held.select("times", F.size("h").alias("h_len"), F.size("r").alias("r_len"), *[x for n in range(1, most + 1) for x in (clipped(ngrams(F.col("h"), n), ngrams(F.col("r"), n)).alias(f"m{n}"), F.greatest(F.size("h") - (n - 1), F.lit(0)).alias(f"t{n}"))])
+    total = per.agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in per.columns if c != "times"])
     brevity = F.when(F.col("h_len") >= F.col("r_len"), 1.0).otherwise(F.exp(1.0 - F.try_divide(F.col("r_len"), F.col("h_len"))))
     scores, logs = [], F.lit(0.0)
     for n in range(1, most + 1):

@@ -1,6 +1,7 @@
 """What depends on a few columns alone is computed once for each of their combinations."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +68,7 @@ ONCE = [
 @pytest.mark.parametrize("name", ONCE)
 def test_texts_are_not_cleaned_once_a_row(spark, many, name):
     assert "regexp_replace" not in plan(spark, name, many)
+
+
+def test_bleu_compares_equal_pairs_once(spark, many):
+    assert re.search(r"Aggregate \[hypothesis#\d+, reference#\d+\]", plan(spark, "bleu", many))
