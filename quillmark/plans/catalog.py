@@ -286,10 +286,10 @@ FLAT = "((k * 37 + stage * 53) % 1200 - 200) / 1000::DOUBLE AS side, ((k * 41 +
 @query(f"SELECT k, stage, round(score, 9) AS score FROM {sql.scored(f'(SELECT *, {FLAT} FROM {sql.STAGED})')}")
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, stage = F.col("k"), F.col("stage")
-    rows = staged(spark, sf_dir)
+    judged = scored.judged(F.col("facts"), F.col("evidence"), F.col("comment"))
+    rows = once_each(staged(spark, sf_dir), ["facts", "evidence", "comment"], lambda kinds: kinds.withColumn("j", judged))
     side, sem = ((k * 37 + stage * 53) % 1200 - 200) / 1000.0, ((k * 41 + stage * 59) % 1200 - 200) / 1000.0
-    f_sec = S.coverage(F.col("facts"), S.covered_facts(F.col("facts"), F.col("comment")))
-    score = S.final_score(S.clamp(side), S.clamp(sem), f_sec, S.style(F.col("comment"))["f_style"], S.claim_penalty(S.claim_flags(F.col("evidence"), F.col("comment"))))
+    score = S.final_score(S.clamp(side), S.clamp(sem), F.col("j.f_sec"), F.col("j.f_style"), F.col("j.penalty"))
     return rows.select("k", "stage", F.round(score, 9).alias("score"))
 
 

@@ -62,6 +62,7 @@ ONCE = [
     "rejected_pool",
     "comment_validity",
     "hard_negatives",
+    "final_score",
 ]
 
 
