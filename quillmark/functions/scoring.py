@@ -11,11 +11,15 @@ from . import rules
 from .text import count_of, display_clean, folded, let, normalized
 
 
+def shortest(terms: tuple[str, ...]) -> list[str]:
+    """The terms that hold no other one; where any term occurs, one of these does."""
+    return list(dict.fromkeys(t for t in terms if not any(o != t and o in t for o in terms)))
+
+
 def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
-    """Whether any term occurs, as a substring; a term that holds another one is never needed."""
-    short = [t for t in terms if not any(o != t and o in t for o in terms)]
+    """Whether any term occurs, as a substring."""
     found = F.lit(False)
-    for t in dict.fromkeys(short):
+    for t in shortest(terms):
         found = found | F.contains(text, F.lit(t))
     return found
 
@@ -64,6 +68,31 @@ def claim_evidence(function: Column) -> Column:
     return let(lowered(function), shown)
 
 
+def function_facts(function: Column) -> Column:
+    """Struct of found (per kind of negative's fact, whether it is shown), facts and evidence, as ``coverage_facts`` and
+    ``claim_evidence`` have them. The tables share many terms; each is looked for once."""
+    tables = [*rules.GENERATOR_FACTS.values(), *[seen for seen, _ in rules.COVERAGE_FACTS.values()], *[e for _, _, e, _ in rules.CLAIM_FLAGS]]
+    place = {t: k for k, t in enumerate(dict.fromkeys(t for terms in tables for t in shortest(terms)))}
+
+    def of(r: Column) -> Column:
+        def shows(terms: tuple[str, ...]) -> Column:
+            found = F.lit(False)
+            for t in shortest(terms):
+                found = found | F.get(r["has"], place[t])
+            return found
+
+        evidence = []
+        for flag, needed, terms, _ in rules.CLAIM_FLAGS:
+            has = shows(terms)
+            if flag == "unsupported_bool_return":
+                has = has | r["code"].rlike(rules.BOOL_RETURN)
+            evidence.append(has if needed else ~has)
+        found = F.array(*[shows(terms) for terms in rules.GENERATOR_FACTS.values()])
+        return F.struct(found.alias("found"), present([(name, shows(seen)) for name, (seen, _) in rules.COVERAGE_FACTS.items()]).alias("facts"), F.array(*evidence).alias("evidence"))
+
+    return let(lowered(function), lambda code: let(F.struct(code.alias("code"), F.array(*[F.contains(code, F.lit(t)) for t in place]).alias("has")), of))
+
+
 def claim_flags(evidence: Column, comment: Column) -> Column:
     return let(lowered(comment), lambda text: present([(flag, F.get(evidence, k) & contains_any(text, claims)) for k, (flag, _, _, claims) in enumerate(rules.CLAIM_FLAGS)]))
 

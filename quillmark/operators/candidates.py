@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions import scoring as S
 from ..functions.scoring import contains_any
 from ..functions.text import folded, let, prediction_clean, without_terms
 from .kinds import once_each
@@ -107,27 +109,38 @@ def with_negatives(pool: DataFrame, most: int = 4) -> DataFrame:
     return once_each(held, ["reference", "_found"], lambda kinds: kinds.withColumn("negatives", negatives_of(F.col("_found"), F.col("reference"), most))).drop("_found")
 
 
-def build_candidates(pool: DataFrame, plan: GenerationPlan = GenerationPlan()) -> DataFrame:
+def build_candidates(pool: DataFrame, plan: GenerationPlan = GenerationPlan(), also: tuple[Callable[[DataFrame], DataFrame], ...] = ()) -> DataFrame:
     """Pool rows (id, instruction, function, reference and, if models ran, outputs: map of pass to texts) with
     candidates, num_candidates, source_counts and role_counts.
 
     The reference comes first, then negatives, then model outputs in the plan's order. Texts are cleaned, blank ones
     go, and of those equal when folded the first stays. Records that have the same reference, outputs and facts of
     their functions have the same candidates, which are made once.
+
+    ``also`` are steps that add what scoring and pairing need of candidates, ``_facts`` and ``_evidence``, in the same
+    go: ``scored.with_judged`` and ``pairs.add_displayed``.
     """
-    held = pool.withColumn("_found", fact_bits(F.col("function")))
+    if also:
+        held = pool.withColumn("_of", S.function_facts(F.col("function")))
+    else:
+        held = pool.withColumn("_of", F.struct(fact_bits(F.col("function")).alias("found")))
     if "outputs" in pool.columns:
         held = held.withColumn("_asked", asked_for(F.col("outputs"), plan)).drop("outputs")
 
     def derive(kinds: DataFrame) -> DataFrame:
-        parts = [F.array(candidate(source=F.lit("reference"), comment=F.col("reference"), role_hint=F.lit("positive_anchor"))), negatives_of(F.col("_found"), F.col("reference"), plan.negatives)]
+        parts = [F.array(candidate(source=F.lit("reference"), comment=F.col("reference"), role_hint=F.lit("positive_anchor"))), negatives_of(F.col("_of.found"), F.col("reference"), plan.negatives)]
         if "_asked" in kinds.columns:
             parts.append(model_candidates(F.col("_asked"), plan))
         cleaned = F.filter(F.transform(F.concat(*parts), lambda x: x.withField("comment", prediction_clean(x["comment"]))), lambda x: x["comment"] != "")
         kept = kinds.withColumn("candidates", first_of_each(cleaned, lambda x: folded(x["comment"])))
-        return kept.withColumns({"num_candidates": F.size("candidates"), "source_counts": frequencies(F.transform("candidates", lambda c: c["source"])), "role_counts": frequencies(F.transform("candidates", lambda c: c["role_hint"]))})
-
-    return once_each(held, [c for c in ("reference", "_found", "_asked") if c in held.columns], derive).drop("_found", "_asked")
+        kept = kept.withColumns({"num_candidates": F.size("candidates"), "source_counts": frequencies(F.transform("candidates", lambda c: c["source"])), "role_counts": frequencies(F.transform("candidates", lambda c: c["role_hint"]))})
+        if also:
+            kept = kept.withColumns({"_facts": F.col("_of.facts"), "_evidence": F.col("_of.evidence")})
+        for step in also:
+            kept = step(kept)
+        return kept.drop("_evidence")
+
+    return once_each(held, [c for c in ("reference", "_of", "_asked") if c in held.columns], derive).drop("_of", "_asked")
 
 
 def frequencies(values: Column) -> Column:

@@ -40,10 +40,18 @@ def told(comment: Column) -> Column:
     return F.coalesce(comment, F.lit(""))
 
 
+def comments_of(candidates: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(candidates, lambda c: told(c["comment"]))))
+
+
+def add_displayed(rows: DataFrame) -> DataFrame:
+    """Rows with ``displayed`` of the comments of their candidates as ``_displayed``, which scoring carries along."""
+    return rows.withColumn("_displayed", let(comments_of(F.col("candidates")), displayed))
+
+
 def with_displayed(records: DataFrame) -> DataFrame:
-    """Records with ``displayed`` of the comments of their candidates as ``_displayed``, made once for each set of
-    comments. Best done before scoring, which carries it along."""
-    held = records.withColumn("_texts", F.array_sort(F.array_distinct(F.transform("candidates", lambda c: told(c["comment"])))))
+    """The same, made once for each set of comments."""
+    held = records.withColumn("_texts", comments_of(F.col("candidates")))
     return once_each(held, ["_texts"], lambda kinds: kinds.withColumn("_displayed", displayed(F.col("_texts")))).drop("_texts")
 
 

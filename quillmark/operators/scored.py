@@ -23,6 +23,12 @@ def judged(facts: Column, evidence: Column, comment: Column) -> Column:
     return S.let(own, made)
 
 
+def with_judged(rows: DataFrame, comments: Column | None = None) -> DataFrame:
+    """Rows with _facts, _evidence and comments (else those of their candidates), with ``judged`` of each as ``_judged``."""
+    texts = F.transform("candidates", lambda c: c["comment"]) if comments is None else comments
+    return rows.withColumn("_judged", F.transform(texts, lambda c: judged(F.col("_facts"), F.col("_evidence"), c)))
+
+
 def score_record(candidates: Column, side: Column, sem: Column, facts: Column, judgements: Column, weights: S.Weights = S.Weights()) -> Column:
     """The scored candidates of a record, best first; ties keep their order.
 
@@ -56,14 +62,16 @@ def score_record(candidates: Column, side: Column, sem: Column, facts: Column, j
 def score_records(records: DataFrame, side: Column, sem: Column, weights: S.Weights = S.Weights()) -> DataFrame:
     """Candidate records with their candidates scored and sorted, best_candidate, worst_candidate and score_range.
 
-    What does not depend on the similarities is found once for each combination of comments, facts and evidence. A
-    record without scored candidates has null best and worst, and a range of 0.
+    What does not depend on the similarities is found once for each combination of comments, facts and evidence, if the
+    candidates were not built with it. A record without scored candidates has null best and worst, and a range of 0.
     """
-    held = records.withColumns({"facts": S.coverage_facts(F.col("function")), "evidence": S.claim_evidence(F.col("function")), "_comments": F.transform("candidates", lambda c: c["comment"])})
-    one = lambda c: judged(F.col("facts"), F.col("evidence"), c)
-    held = once_each(held, ["facts", "evidence", "_comments"], lambda kinds: kinds.withColumn("_judged", F.transform("_comments", one)))
+    if "_judged" in records.columns:
+        held = records
+    else:
+        held = records.withColumns({"_facts": S.coverage_facts(F.col("function")), "_evidence": S.claim_evidence(F.col("function")), "_comments": F.transform("candidates", lambda c: c["comment"])})
+        held = once_each(held, ["_facts", "_evidence", "_comments"], lambda kinds: with_judged(kinds, F.col("_comments"))).drop("_evidence", "_comments")
     held = held.withColumns({"side": side, "sem": sem})
-    held = held.withColumn("candidates", score_record(F.col("candidates"), F.col("side"), F.col("sem"), F.col("facts"), F.col("_judged"), weights)).drop("facts", "evidence", "side", "sem", "_comments", "_judged")
+    held = held.withColumn("candidates", score_record(F.col("candidates"), F.col("side"), F.col("sem"), F.col("_facts"), F.col("_judged"), weights)).drop("side", "sem", "_facts", "_judged")
     best, worst = F.try_element_at("candidates", F.lit(1)), F.try_element_at("candidates", F.lit(-1))
     gap = F.coalesce(best["score"] - worst["score"], F.lit(0.0))
     return held.withColumns({"best_candidate": best, "worst_candidate": worst, "score_range": gap})

@@ -326,8 +326,8 @@ def scored_corpus(spark: SparkSession, sf_dir: str, flat: bool = False, shown: b
         side, sem = corpus.flat_similarity(c, k, 37, 53), corpus.flat_similarity(c, k, 41, 59)
     else:
         side, sem = corpus.source_similarity(c, k, 37, 53, (0.9, 0.35, 0.75), False), corpus.source_similarity(c, k, 41, 59, (1.0, 0.3, 0.8), True)
-    made = records(spark, sf_dir)
-    return scored.score_records(pairs.with_displayed(made) if shown else made, side, sem)
+    also = (scored.with_judged, pairs.add_displayed) if shown else (scored.with_judged,)
+    return scored.score_records(C.build_candidates(corpus.pool(spark, sf_dir), PLAN, also), side, sem)
 
 
 def _scored_sql(kind: str) -> str:

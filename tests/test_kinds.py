@@ -73,3 +73,26 @@ def test_texts_are_not_cleaned_once_a_row(spark, many, name):
 
 def test_bleu_compares_equal_pairs_once(spark, many):
     assert re.search(r"Aggregate \[hypothesis#\d+, reference#\d+\]", plan(spark, "bleu", many))
+
+
+def test_facts_with_shared_terms_are_the_same(spark, many):
+    from quillmark.functions import scoring as S
+    from quillmark.operators.candidates import fact_bits
+
+    f = F.col("function")
+    rows = corpus.pool(spark, many).select(f).union(spark.createDataFrame([(None,), ("",), ("returns\t(uint x, BOOL y) callBack only owner",)], "function string"))
+    apart = F.struct(fact_bits(f).alias("found"), S.coverage_facts(f).alias("facts"), S.claim_evidence(f).alias("evidence"))
+    assert rows.where(~S.function_facts(f).eqNullSafe(apart)).count() == 0
+
+
+def test_scores_are_the_same_whether_built_with_judgements_or_not(spark, many):
+    from quillmark.operators import candidates, pairs, scored
+
+    pool = corpus.pool(spark, many).where("k < 300")
+    same = F.transform("candidates", lambda c, i: i / 10)
+    plain = scored.score_records(candidates.build_candidates(pool), same, same)
+    whole = scored.score_records(candidates.build_candidates(pool, also=(scored.with_judged, pairs.add_displayed)), same, same)
+    want, got = ({r.id: (r.candidates, r.score_range) for r in x.collect()} for x in (plain, whole))
+    assert len(want) == 300 and want == got
+    low = pairs.PairRules(min_margin=-1.0, min_chosen_score=0.0, max_rejected_score=1.0)
+    assert sorted(map(str, pairs.build_pairs(plain, low).collect())) == sorted(map(str, pairs.build_pairs(whole, low).collect()))
