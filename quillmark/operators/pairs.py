@@ -76,6 +76,65 @@ def ranked(items: Column, falling: bool) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["x"])
 
 
+def add_usable(rows: DataFrame, p: PairRules = PairRules()) -> DataFrame:
+    """Rows with ``_usable``, from their candidates, ``_judged`` and ``_displayed``: valid candidates with all that ranking
+    needs and no similarity changes. ``wins`` and ``loses`` tell who may be chosen or rejected if the score allows it,
+    ``like`` the first of those displayed alike, ``twin`` whether there are others."""
+
+    def all_of(r: Column) -> Column:
+        def item(c: Column, i: Column) -> Column:
+            def made(x: Column) -> Column:
+                d, j, hard = x["d"], x["j"], S.is_hard_negative(c["source"], c["role_hint"])
+                wins = ~hard & (j["penalty"] <= 0) & (j["f_style"] >= p.min_chosen_style)
+                loses = ~S.is_reference(c["source"]) & ~S.is_anchor(c["role_hint"])
+                fields = {"pos": i, "text": d["text"], "key": d["key"], "less": d["less"], "wins": wins, "loses": loses, "source": c["source"], "f_sec": j["f_sec"], "f_style": j["f_style"], "penalty": j["penalty"]}
+                return F.when(j["shown"] & d["valid"], F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+            return let(F.struct(F.try_element_at(r["shown"], told(c["comment"])).alias("d"), F.get(r["judged"], i).alias("j")), made)
+
+        return F.filter(F.transform(r["candidates"], item), lambda x: x.isNotNull())
+
+    def with_twins(items: Column) -> Column:
+        keys = lambda: F.transform(items, lambda x: x["key"])
+        alike = lambda ks: F.transform(items, lambda x: x.withField("like", F.array_position(ks, x["key"])).withField("twin", F.size(F.filter(ks, lambda k: k == x["key"])) > 1))
+        return let(keys(), alike)
+
+    record = F.struct(F.col("candidates").alias("candidates"), F.col("_judged").alias("judged"), F.col("_displayed").alias("shown"))
+    return rows.withColumn("_usable", let(let(record, all_of), with_twins))
+
+
+def ranked_pool(usable: Column, side: Column, sem: Column, chosen: bool, p: PairRules = PairRules(), weights: S.Weights = S.Weights()) -> Column:
+    """Those of ``_usable`` that may be chosen (else rejected), as structs with ``at``, the place there, and ``adj``: the
+    same ones in the same order as ``ranked`` gives of ``usable``. Of those displayed alike the best scored stays.
+
+    ``side`` and ``sem`` are arrays of raw similarities by place among the candidates. Only scores are found here, for
+    those alone that can be in the pool or have a twin, and no candidate is copied.
+    """
+
+    def of(r: Column) -> Column:
+        def one(u: Column, i: Column) -> Column:
+            may = u["wins"] if chosen else u["loses"]
+            near = lambda x: S.clamp(F.coalesce(F.get(r[x], u["pos"]), F.lit(0.0)))
+            score = S.final_score(near("side"), near("sem"), u["f_sec"], u["f_style"], u["penalty"], weights)
+
+            def made(s: Column) -> Column:
+                fits = may & ((s >= p.min_chosen_score) if chosen else (s <= p.max_rejected_score))
+                adj = s - u["less"]
+                fields = {"order": -adj if chosen else adj, "less_score": -s, "at": i, "adj": adj, "fits": fits, "like": u["like"], "twin": u["twin"]}
+                return F.when(s.isNotNull() & (fits | u["twin"]), F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+            return F.when(may | u["twin"], let(score, made))
+
+        return F.filter(F.transform(r["usable"], one), lambda x: x.isNotNull())
+
+    def best_of_twins(items: Column) -> Column:
+        before = lambda y, x: (y["like"] == x["like"]) & ((y["less_score"] < x["less_score"]) | ((y["less_score"] == x["less_score"]) & (y["at"] < x["at"])))
+        return F.filter(items, lambda x: x["fits"] & (~x["twin"] | ~F.exists(items, lambda y: before(y, x))))
+
+    record = F.struct(usable.alias("usable"), side.alias("side"), sem.alias("sem"))
+    return F.sort_array(let(let(record, of), best_of_twins))
+
+
 def choose(candidates: Column, shown: Column, p: PairRules) -> Column:
     """The pairs of one record, as structs of c (chosen), r (rejected) and type.
 

@@ -320,14 +320,16 @@ def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("k", "num_candidates", count("role_counts", "negative_only").alias("n_negative"), count("role_counts", "model_candidate").alias("n_model"), count("source_counts", "hard_negative_action_reverse").alias("n_reverse"), F.size("source_counts").alias("n_sources"))
 
 
-def scored_corpus(spark: SparkSession, sf_dir: str, flat: bool = False, shown: bool = False) -> DataFrame:
+def similarities(flat: bool) -> tuple[Column, Column]:
     c, k = F.col("candidates"), F.col("k")
     if flat:
-        side, sem = corpus.flat_similarity(c, k, 37, 53), corpus.flat_similarity(c, k, 41, 59)
-    else:
-        side, sem = corpus.source_similarity(c, k, 37, 53, (0.9, 0.35, 0.75), False), corpus.source_similarity(c, k, 41, 59, (1.0, 0.3, 0.8), True)
+        return corpus.flat_similarity(c, k, 37, 53), corpus.flat_similarity(c, k, 41, 59)
+    return corpus.source_similarity(c, k, 37, 53, (0.9, 0.35, 0.75), False), corpus.source_similarity(c, k, 41, 59, (1.0, 0.3, 0.8), True)
+
+
+def scored_corpus(spark: SparkSession, sf_dir: str, flat: bool = False, shown: bool = False) -> DataFrame:
     also = (scored.with_judged, pairs.add_displayed) if shown else (scored.with_judged,)
-    return scored.score_records(C.build_candidates(corpus.pool(spark, sf_dir), PLAN, also), side, sem)
+    return scored.score_records(C.build_candidates(corpus.pool(spark, sf_dir), PLAN, also), *similarities(flat))
 
 
 def _scored_sql(kind: str) -> str:
@@ -354,13 +356,10 @@ def scored_records_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_rows(spark: SparkSession, sf_dir: str, chosen: bool) -> DataFrame:
-    rule = pairs.PairRules()
-    items = F.col("items")
-    win = F.filter(items, lambda x: ~x["hard"] & (x["c"]["score"] >= rule.min_chosen_score) & (x["c"]["hallucination_penalty"] <= 0) & (x["c"]["f_style"] >= rule.min_chosen_style))
-    lose = F.filter(items, lambda x: ~S.is_reference(x["c"]["source"]) & ~S.is_anchor(x["c"]["role_hint"]) & (x["c"]["score"] <= rule.max_rejected_score))
-    held = scored_corpus(spark, sf_dir, shown=True).select("k", pairs.usable(F.col("candidates"), F.col("_displayed")).alias("items"))
-    rows = T.exploded(held, ["k"], pairs.ranked(win, True) if chosen else pairs.ranked(lose, False), "at", "x")
-    return rows.select("k", (F.col("at") + 1).alias("rank"), "x.text", F.col("x.c.source").alias("source"), F.round("x.adj", 9).alias("adjusted"))
+    held = C.build_candidates(corpus.pool(spark, sf_dir), PLAN, (scored.with_judged, pairs.add_displayed, pairs.add_usable))
+    rows = T.exploded(held, ["k", "_usable"], pairs.ranked_pool(F.col("_usable"), *similarities(False), chosen), "at", "x")
+    c = F.get("_usable", F.col("x.at"))
+    return rows.select("k", (F.col("at") + 1).alias("rank"), c["text"].alias("text"), c["source"].alias("source"), F.round("x.adj", 9).alias("adjusted"))
 
 
 @query(f"WITH {sql.SELECTION_CTES} SELECT k, CAST(rank AS INTEGER) AS rank, shown AS text, source, round(adj, 9) AS adjusted FROM c")

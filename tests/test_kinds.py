@@ -96,3 +96,32 @@ def test_scores_are_the_same_whether_built_with_judgements_or_not(spark, many):
     assert len(want) == 300 and want == got
     low = pairs.PairRules(min_margin=-1.0, min_chosen_score=0.0, max_rejected_score=1.0)
     assert sorted(map(str, pairs.build_pairs(plain, low).collect())) == sorted(map(str, pairs.build_pairs(whole, low).collect()))
+
+
+def test_ranked_pools_are_those_of_scored_records(spark):
+    from quillmark.operators import candidates, pairs, scored
+
+    # comments that are displayed alike, or by letters alone, and scores that tie
+    texts = ["Sends all the tokens to them.", "@dev Sends all the tokens to them.", "sends all the tokens to them. ", "/// Sends all the tokens to them.", "Only the owner can stop it.", "Ok.", "Burns some tokens of the account."]
+    rows = [(i, i, "f() { onlyOwner; }", [(None if (i + j) % 9 == 0 else ("reference" if j == 0 else f"hard_negative_{j}" if j % 3 == 2 else f"m{j}"), t, "positive_anchor" if j == 3 else "model_candidate") for j, t in enumerate(texts)]) for i in range(40)]
+    made = spark.createDataFrame(rows, "id int, k int, function string, c array<struct<source:string,comment:string,role_hint:string>>")
+    made = made.withColumn("candidates", F.transform("c", lambda x: candidates.candidate(source=x["source"], comment=x["comment"], role_hint=x["role_hint"])))
+    side = F.transform("candidates", lambda c, j: ((F.col("k") * 3 + j * 5) % 7) / 7.0)
+    rule = pairs.PairRules(min_chosen_score=0.4, max_rejected_score=0.5, min_chosen_style=0.5)
+    held = made.withColumns({"_facts": catalog.S.coverage_facts(F.col("function")), "_evidence": catalog.S.claim_evidence(F.col("function"))})
+    held = pairs.add_usable(pairs.add_displayed(scored.with_judged(held)), rule)
+    items = pairs.usable(F.col("candidates"), F.col("_displayed"))
+    whole = pairs.with_displayed(scored.score_records(made, side, side)).select("k", items.alias("items"))
+    S = catalog.S
+    win = F.filter("items", lambda x: ~x["hard"] & (x["c"]["score"] >= rule.min_chosen_score) & (x["c"]["hallucination_penalty"] <= 0) & (x["c"]["f_style"] >= rule.min_chosen_style))
+    lose = F.filter("items", lambda x: ~S.is_reference(x["c"]["source"]) & ~S.is_anchor(x["c"]["role_hint"]) & (x["c"]["score"] <= rule.max_rejected_score))
+    for chosen, pool in ((True, win), (False, lose)):
+        want = {r.k: r.x for r in whole.select("k", F.transform(pairs.ranked(pool, chosen), lambda x: F.struct(x["text"], x["c"]["source"], x["adj"])).alias("x")).collect()}
+        ranked = pairs.ranked_pool(F.col("_usable"), side, side, chosen, rule)
+        got = {r.k: r.x for r in held.select("k", F.transform(ranked, lambda x: F.struct(F.get("_usable", x["at"])["text"], F.get("_usable", x["at"])["source"], x["adj"])).alias("x")).collect()}
+        assert sum(map(len, want.values())) > 40 and {k: list(map(tuple, x)) for k, x in got.items()} == {k: list(map(tuple, x)) for k, x in want.items()}
+
+
+@pytest.mark.parametrize("name", ["rejected_pool", "chosen_pool"])
+def test_pools_do_not_build_scored_candidates_once_a_row(spark, many, name):
+    assert "covered_security_facts" not in plan(spark, name, many)
